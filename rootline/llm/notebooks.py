@@ -264,14 +264,14 @@ def read(text: str | None, form: str | None, cells: Sequence[tuple[str, int]] |
 KINDS = {"t": "text", "c": "code", "o": "output"}
 
 
-def compact_columns(documents):
-    """(doc_id, text, nb_format, kinds, sizes): documents with their list of cells as a string of
+def compact_columns(documents, *others):
+    """(doc_id, text, nb_format, kinds, sizes, *others): documents with their list of cells as a string of
     first letters and an array of lengths, which Python reads far faster than structs."""
     from pyspark.sql import functions as F
 
     kinds = F.array_join(F.transform("cells", lambda c: F.coalesce(F.substring(F.lower(c["cell_type"]), 1, 1), F.lit("t"))), "")
     sizes = F.transform("cells", lambda c: F.coalesce(c["n_chars"].cast("int"), F.lit(0)))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "nb_format", F.coalesce(kinds, F.lit("")).alias("kinds"), F.coalesce(sizes, F.array().cast("array<int>")).alias("sizes")).where("doc_id is not null")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "nb_format", F.coalesce(kinds, F.lit("")).alias("kinds"), F.coalesce(sizes, F.array().cast("array<int>")).alias("sizes"), *others).where("doc_id is not null")
 
 
 def batch_cells(batch):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootline.llm import leakage, quantiles, topn
+from rootline.llm import leakage, mixing, quantiles, subjects, topn
 from rootline.session import prepare, table
 
 
@@ -43,5 +43,45 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("test_set").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("item_id", "doc_id").alias("pairs"), F.max("words").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_percentiles, p6_found, p6_report)}
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    prepare(spark)
+    targets = mixing.read_targets(table(spark, sf_dir, "mix_targets"))
+    sized = mixing.sized_records(table(spark, sf_dir, "documents"), targets)
+    return sized, mixing.plan(sized, targets)[1]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't fill their share even with every record used as often as allowed."""
+    return mixing.report(_mixture(spark, sf_dir)[1]).where("short").select("source")
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    return mixing.choose(*_mixture(spark, sf_dir)).select("doc_id", "source", "uses")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each source that was asked for and the share that was reached."""
+    sized, leaves = _mixture(spark, sf_dir)
+    return mixing.report(leaves, mixing.choose(sized, leaves))
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))[0]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each notebook."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many notebooks each subject has, and its share of all that have one."""
+    found = _subjects(spark, sf_dir)
+    docs = found.agg(F.countDistinct("doc_id").alias("all_docs"))
+    return found.groupBy("subject").agg(F.count("*").alias("docs")).join(F.broadcast(docs)).select("subject", "docs", (F.col("docs") / F.col("all_docs")).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_percentiles, p6_found, p6_report, p7_found, p7_mixture, p7_report, p8_found, p8_makeup)}
 ORACLES: dict[str, str] = {}
