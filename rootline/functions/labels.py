@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that count as white space around a label.
-BLANKS = " \t\n\r\x0b\x0c "
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0  　"
 
 
 def strip(column: Column) -> Column:
