@@ -11,7 +11,7 @@
    sharpen what each term says; a notebook gets the subjects of its cells.
 
 A notebook has a subject when at least two of its text cells are about it, or, where no text cell is
-about any subject, when most of its code cells take their names from it.
+about any other subject, when most of its code cells take their names from it.
 
 Defined results: null and empty texts have no subject; unknown, blank or ``none`` labels name no leaf;
 labels that contradict each other count in proportion; without labels the descriptions alone name the
@@ -46,8 +46,8 @@ BOILERPLATE, RARE, RARE_DOCS = 0.2, 0.001, 3
 
 DIMENSIONS, LEAVES, LEVELS = 128, 48, 6
 
-#: Rounds of reassigning cells.
-ROUNDS = 3
+#: Rounds of reassigning cells, and the weight of a notebook's code in all but the last.
+ROUNDS, CONTEXT = 4, 2.0
 
 STAGE = "doc_id long, lang string, kinds string, ends array<int>, words array<string>"
 
@@ -374,7 +374,7 @@ def _cells(batch: pa.RecordBatch, kinds: int, ends: int, terms: int) -> tuple[np
 def sharpen(points: DataFrame, says: np.ndarray, context: float) -> np.ndarray:
     """One round of reassignment: what each term says, by the subjects of all cells it occurs in.
 
-    ``context`` is the weight of the names in a notebook's code for its text cells.  Names are
+    ``context`` is the weight that the names in a notebook's code have for its text cells.  They are
     written alike whatever the language of the text, so they carry subjects over to languages whose
     leaves are mixed.
     """
@@ -403,7 +403,7 @@ def sharpen(points: DataFrame, says: np.ndarray, context: float) -> np.ndarray:
     rate = counts[:, :n] / cells
     share = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
     settled = counts[:, :n].sum(axis=1, keepdims=True) / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
-    return np.where((share > 0.15) & (settled > 0.3), share**2 / np.maximum((share**2).sum(axis=1, keepdims=True), 1e-12), 0.0) * (share.max(axis=1, keepdims=True) > 0.45)
+    return np.where((share > 0.15) & (settled > 0.1), share**2 / np.maximum((share**2).sum(axis=1, keepdims=True), 1e-12), 0.0) * (share.max(axis=1, keepdims=True) > 0.45)
 
 
 @dataclass
@@ -425,7 +425,7 @@ def fit(points: DataFrame, vocab: Vocabulary, descriptions: dict[str, str], labe
     names = name_leaves(leaves, votes, vocab, descriptions)
     says = speaking(leaves, names, subjects)
     for r in range(rounds):
-        says = sharpen(points, says, 1.0 if r < rounds - 1 else 0.0)
+        says = sharpen(points, says, CONTEXT if r < rounds - 1 else 0.0)
     return Model(subjects, vocab, tree, names, says)
 
 
@@ -446,8 +446,8 @@ def assign(points: DataFrame, model: Model) -> DataFrame:
                 hit = own & (about >= 0)
                 np.add.at(table, (row[hit], about[hit]), 1)
             code = np.bincount(row[~text], minlength=batch.num_rows)
-            quiet = of_text.sum(axis=1) == 0
-            chosen = (of_text >= 2) | (quiet[:, None] & (2 * of_code > code[:, None]))
+            quiet = of_text.sum(axis=1, keepdims=True) - of_text == 0  # no text cell about anything else
+            chosen = (of_text >= 2) | (quiet & (2 * of_code > code[:, None]))
             docs, which = np.nonzero(chosen)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array([subjects[w] for w in which], pa.string()), pa.array(of_text[docs, which], pa.int32()), pa.array(of_code[docs, which], pa.int32())], names=["doc_id", "subject", "text_cells", "code_cells"])
 
