@@ -42,7 +42,7 @@ MAX_LABELLED = 50_000
 
 #: A term is boilerplate of a language beyond this share of its notebooks, and noise below that share
 #: of all notebooks or that many of them.
-BOILERPLATE, RARE, RARE_DOCS = 0.2, 0.001, 3
+BOILERPLATE, RARE, RARE_DOCS = 0.3, 0.001, 3
 
 DIMENSIONS, LEAVES, LEVELS = 128, 48, 6
 
