@@ -1 +1,5 @@
 """Named queries over a data folder, and their SQL where SQL can express them."""
+
+from rootline.plans import lineage, reshape
+
+PLANS = (reshape, lineage)

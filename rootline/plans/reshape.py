@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootline.operators import hierarchy, nested, wide
+from rootline.plans.lineage import BASE
 from rootline.session import prepare, table
 
 
@@ -65,3 +66,7 @@ def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_paths, p2_descendants, p4_found, p4_schema)}
+
+ORACLES = {
+    "p2_found": BASE + ", above as (select child_id as node, parent_id as top from e union select above.node, e.parent_id from above join e on e.child_id = above.top) select distinct node as node_id from above where node = top",
+}
