@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootline.llm import leakage, mixing, quantiles, subjects, topn
+from rootline.plans.lineage import LABEL
 from rootline.session import prepare, table
 
 
@@ -84,4 +85,16 @@ def p8_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_percentiles, p6_found, p6_report, p7_found, p7_mixture, p7_report, p8_found, p8_makeup)}
-ORACLES: dict[str, str] = {}
+
+ORACLES = {
+    "p3_found": f"""with n as (select distinct {LABEL("node_id")} as node_id, {LABEL("step_type")} as step_type from node),
+m as (select {LABEL("node_id")} as node_id, {LABEL("key")} as key, max(num_value) as score from metadata where num_value is not null and not isnan(num_value) group by 1, 2)
+select step_type, key, cast(row_number() over (partition by step_type, key order by score desc, node_id) as int) as rank_no, node_id
+from m join n using (node_id) where step_type is not null and key is not null qualify rank_no <= 5""",
+    "p5_found": f"""with n as (select {LABEL("node_id")} as node_id, min({LABEL("step_type")}) as step_type,
+max(case when duration_seconds > 0 and not isnan(duration_seconds) then duration_seconds end) as d, max(case when size_bytes > 0 then size_bytes end)::double as s
+from node where {LABEL("step_type")} is not null group by 1),
+u as (select node_id, step_type, 'duration_seconds' as field, d as v from n union all select node_id, step_type, 'size_bytes', s from n),
+p as (select step_type, field, quantile_disc(v, 0.9) as p90 from u where v is not null group by 1, 2)
+select node_id, field from u join p using (step_type, field) where v > 20 * p90""",
+}
