@@ -26,7 +26,7 @@ DEFLATED, DELTA, VERBATIM = 0, 1, 2
 FEATURES = 4
 SAMPLE_STRIDE = 64
 SAMPLE_WIDTH = 8
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 DICTIONARY_BYTES = 32_256
 DELTA_FROM = 2048
 DELTA_WIN = 0.8
