@@ -146,7 +146,7 @@ def levels(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) ->
     """(node, level, settled): the longest path from a root, roots at 0, over edges (a, b) from parent
     to child.  Nodes on a cycle or below one aren't settled: their level counts only the paths that
     come from roots past settled nodes."""
-    edges, nodes = materialize(edges.select("a", "b").where("a <> b or a is null"), "edges"), nodes.select("node").distinct()
+    edges, nodes = materialize(edges.select("a", "b"), "edges"), nodes.select("node").distinct()
     loops = None
     if edges.count() <= task_edges:
 

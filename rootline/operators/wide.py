@@ -206,8 +206,9 @@ def table(run: DataFrame, catalog: dict[str, str], conflicts: str = "null") -> D
 class WideStore:
     """Runs of a wide table in a folder: ``upsert`` appends a delta, ``compact`` merges all runs.
 
-    A run is a folder of Parquet files; ``_runs`` lists the live ones, one per line, and is replaced
-    as a whole, so a reader sees the runs before or after a compaction and never both.
+    A run is a folder of Parquet files; ``runs-<n>.txt`` lists those that are live, one per line, and
+    the list of the highest number holds.  Lists are renamed into place, so a reader sees the runs
+    before or after a compaction and never both.
     """
 
     def __init__(self, spark, path: str, catalog: dict[str, str]):
@@ -217,17 +218,24 @@ class WideStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _list(self) -> str | None:
+        p, fs = self._fs("runs-*.txt")
+        return max((s.getPath().getName() for s in fs.globStatus(p) or []), default=None)
+
     def runs(self) -> list[str]:
-        p, fs = self._fs("_runs")
-        if not fs.exists(p):
+        """The live runs."""
+        if (name := self._list()) is None:
             return []
-        return [r.value for r in self.spark.read.text(p.toString()).collect() if r.value]
+        return [r.value for r in self.spark.read.text(f"{self.path}/{name}").collect() if r.value]
 
     def _publish(self, runs: list[str]) -> None:
-        p, fs = self._fs("_runs")
-        out = fs.create(p, True)
+        number = int((self._list() or "runs-000000.txt")[5:-4]) + 1
+        staged, fs = self._fs(f".{number}.tmp")
+        out = fs.create(staged, True)
         out.write(bytearray("\n".join(runs) + "\n", "utf-8"))
         out.close()
+        if not fs.rename(staged, self._fs(f"runs-{number:06d}.txt")[0]):
+            raise OSError(f"another writer published list {number} of {self.path}")
 
     def _write(self, run: DataFrame, number: int) -> str:
         name = f"run-{number:06d}"

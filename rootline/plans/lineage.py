@@ -225,7 +225,7 @@ def impact_by_step(f: LineageFrames) -> DataFrame:
     return f.node.join(below, "node_id", "left_semi").groupBy("step_type").agg(F.count("*").alias("runs"), F.count_if("healthy").alias("ok"), F.sum("size_bytes").alias("bytes"))
 
 
-_SETTLED = """, k as (select e.parent_id as a, e.child_id as b from e where e.parent_id <> e.child_id and e.parent_id in (select node_id from n) and e.child_id in (select node_id from n)),
+_SETTLED = """, k as (select e.parent_id as a, e.child_id as b from e where e.parent_id in (select node_id from n) and e.child_id in (select node_id from n)),
 above as (select b as node, a as top from k union select above.node, k.a from above join k on k.b = above.top),
 looped as (select distinct node from above where node = top),
 settled as (select node_id as node from n where node_id not in (select node from looped) and node_id not in (select node from above where top in (select node from looped))),
