@@ -147,7 +147,7 @@ def cells(rows: DataFrame, catalog: dict[str, str], version: Column, batch: Colu
     )
     flat = readings(with_given(flat).where("kind is not null"))
     state = F.struct(F.max(F.when(F.col("val").isNotNull(), F.struct("ver", "val"))).alias("latest"), F.min("val").alias("lo"), F.max("val").alias("hi"))
-    return flat.groupBy("batch", "entity", "attr").agg(state.alias("cell"))
+    return flat.groupBy("entity", "attr", "batch").agg(state.alias("cell"))
 
 
 def _widen(folded: DataFrame, catalog: dict[str, str], keys: list[str]) -> DataFrame:
@@ -159,7 +159,7 @@ def _widen(folded: DataFrame, catalog: dict[str, str], keys: list[str]) -> DataF
 
 def delta(rows: DataFrame, catalog: dict[str, str], version: Column, batch: Column | None = None, **columns: str) -> DataFrame:
     """The sparse wide rows of one batch, or of each batch where ``batch`` tells them apart."""
-    keys = ["batch", "entity"] if batch is not None else ["entity"]
+    keys = ["entity", "batch"] if batch is not None else ["entity"]
     return _widen(cells(rows, catalog, version, batch, **columns), catalog, keys)
 
 
