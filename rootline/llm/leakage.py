@@ -144,6 +144,40 @@ def matches(documents: DataFrame, items: DataFrame, words: int = WORDS, block_wo
     return reduce(DataFrame.unionByName, found)
 
 
+def _near(documents: DataFrame, block: list[tuple[int, list[str]]], words: int, terms: int, slack: int) -> DataFrame:
+    spark = documents.sparkSession
+    vocabulary: dict[str, int] = {}
+    coded = [(item, [vocabulary.setdefault(w, len(vocabulary)) for w in found]) for item, found in block]
+    index = postings(documents, vocabulary, 1)
+    frequency = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one number per term of the block
+    # a window may lack some of its terms, so any of its rarest may be the one that is there
+    anchors = sorted({(t[j], n, j) for n, (_, t) in enumerate(coded) for i in range(len(t) - words + 1) for j in sorted(range(i, i + words), key=lambda j: (frequency.get(t[j], 0), t[j], j))[: words - terms + 1] if frequency.get(t[j])})
+    anchors = spark.createDataFrame(anchors, "term int, text int, offset int")
+    items = spark.createDataFrame([(n, item, terms) for n, (item, terms) in enumerate(coded)], "text int, item_id long, terms array<int>")
+    expected = items.select("text", "item_id", F.posexplode("terms").alias("at", "want"))
+    placed = index.join(F.broadcast(anchors), "term").select("text", "doc_id", "cell", "offset", (F.col("pos") - F.col("offset")).alias("shift"))
+    around = (F.col("at") > F.col("offset") - words) & (F.col("at") < F.col("offset") + words)
+    asked = placed.join(F.broadcast(expected), "text").where(around).select("text", "item_id", "doc_id", "cell", "offset", "shift", "at", F.col("want").alias("term"))
+    asked = asked.withColumn("pos", F.explode(F.sequence(F.col("shift") + F.col("at") - slack, F.col("shift") + F.col("at") + slack)))
+    hits = asked.join(index, ["doc_id", "cell", "pos", "term"], "left_semi").select("text", "item_id", "doc_id", "cell", "offset", "shift", "at").distinct()
+    along = Window.partitionBy("text", "doc_id", "cell", "offset", "shift").orderBy("at").rangeBetween(0, words - 1)
+    counted = hits.withColumn("terms", F.count("*").over(along).cast("int")).where(F.col("terms") >= terms)
+    return counted.groupBy("item_id", "doc_id").agg(F.max("terms").alias("terms"))
+
+
+def proximity(documents: DataFrame, items: DataFrame, words: int = WORDS, terms: int = 10, slack: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(item_id, doc_id, terms): pairs where a cell holds at least ``terms`` of some ``words``
+    consecutive words of an item, each within ``slack`` words of its place; the most found.
+
+    A window with so many of its words there has at least one of its ``words - terms + 1`` rarest
+    there, so those are looked up.  Here every posting of a test term counts, not only unbroken rows.
+    """
+    found = [_near(documents, block, words, terms, slack) for block in _blocks(items, block_words)]
+    if not found:
+        return documents.sparkSession.createDataFrame([], "item_id long, doc_id long, terms int")
+    return reduce(DataFrame.unionByName, found).groupBy("item_id", "doc_id").agg(F.max("terms").alias("terms"))
+
+
 def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(item_id, doc_id): the pairs of a test item and a document that holds a passage of it."""
     return matches(documents, items, words, block_words).select("item_id", "doc_id").distinct()

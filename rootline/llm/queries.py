@@ -44,6 +44,12 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("test_set").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("item_id", "doc_id").alias("pairs"), F.max("words").alias("longest"))
 
 
+def p6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a test item and a document with at least 10 of 12 words close to their places."""
+    prepare(spark)
+    return leakage.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
     targets = mixing.read_targets(table(spark, sf_dir, "mix_targets"))
@@ -84,7 +90,7 @@ def p8_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count("*").alias("docs")).join(F.broadcast(docs)).select("subject", "docs", (F.col("docs") / F.col("all_docs")).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_percentiles, p6_found, p6_report, p7_found, p7_mixture, p7_report, p8_found, p8_makeup)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_percentiles, p6_found, p6_report, p6_proximity, p7_found, p7_mixture, p7_report, p8_found, p8_makeup)}
 
 ORACLES = {
     "p3_found": f"""with n as (select distinct {LABEL("node_id")} as node_id, {LABEL("step_type")} as step_type from node),

@@ -81,6 +81,17 @@ def test_positions_and_lengths(spark):
     assert (r.cell, r.start, r.item_start, r.words) == (0, 2, 1, 12)
 
 
+def test_proximity(spark):
+    near = " ".join(w if i not in (3, 8) else "odd" for i, w in enumerate(WORDS))
+    loose = " ".join(w + (" x y" if i == 5 else "") for i, w in enumerate(WORDS))
+    far = " ".join(w + " x y" for w in WORDS)
+    few = " ".join(w if i % 3 else "odd" for i, w in enumerate(WORDS))
+    docs = spark.createDataFrame([(i, t, "md", None) for i, t in enumerate([P, near, loose, far, few, ""])], SCHEMA)
+    items = spark.createDataFrame([(1, P), (2, "short"), (3, None)], "item_id long, text string")
+    assert {tuple(r) for r in leakage.proximity(docs, items).collect()} == {(1, 0, 12), (1, 1, 10), (1, 2, 12)}
+    assert leakage.proximity(docs, items.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert leaked(spark, [], [(1, P)]) == set()
     assert leaked(spark, [(P, "md", [])], []) == set()
