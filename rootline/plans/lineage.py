@@ -30,7 +30,7 @@ def _number(c: str) -> str:
     return f"case when not isnan({c}) then {c} end"
 
 
-LABEL = _label
+LABEL, BLANKS = _label, _BLANKS
 
 BASE = f"""with recursive n as (
   select {_label("node_id")} as node_id, max({_label("step_type")}) as step_type, max(generation) as generation, max(created_utc) as created_utc,

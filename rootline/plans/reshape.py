@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootline.operators import hierarchy, nested, wide
-from rootline.plans.lineage import BASE
+from rootline.plans.lineage import BASE, BLANKS, LABEL
 from rootline.session import prepare, table
 
 
@@ -67,6 +67,31 @@ def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_paths, p2_descendants, p4_found, p4_schema)}
 
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+_SETTLED = rf"""with c as (select {LABEL("attr")} as attr, {LABEL("col_type")} as t from attr_catalog),
+r as (select {LABEL("node_id")} as node_id, {LABEL("key")} as attr, value, num_value, trim(value, {BLANKS}) as raw from metadata),
+k as (select r.node_id, r.attr, c.t, raw, value, num_value, case
+    when value is null then case when num_value is not null and not isnan(num_value) then 'number' end
+    when raw in ('', 'NaN', 'null') then null
+    when regexp_full_match(raw, '"([^"\\]|\\.)*"') and json_valid(raw) then case when trim(json_extract_string(raw, '$'), {BLANKS}) <> '' then 'string' end
+    when raw in ('true', 'false') then 'boolean'
+    when regexp_full_match(raw, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') then 'number'
+    else 'other' end as kind
+  from r join c using (attr) where r.node_id is not null),
+x as (select node_id, attr, t, kind, case when value is null then num_value::varchar when kind = 'string' then trim(json_extract_string(raw, '$'), {BLANKS}) else raw end as text from k where kind is not null),
+v as (select node_id, attr, case
+    when t = 'double' and kind in ('number', 'string') and regexp_full_match(text, '{_NUMBER}') then (try_cast(text as double) + 0)::varchar
+    when t = 'long' and kind in ('number', 'string') and regexp_full_match(text, '{_NUMBER}') and try_cast(text as double) = floor(try_cast(text as double)) then try_cast(try_cast(text as double) as bigint)::varchar
+    when t = 'boolean' and (kind = 'string' and lower(text) in ('true', 'yes', '1') or kind = 'boolean' and text = 'true' or kind = 'number' and try_cast(text as double) = 1) then 'true'
+    when t = 'boolean' and (kind = 'string' and lower(text) in ('false', 'no', '0') or kind = 'boolean' and text = 'false' or kind = 'number' and try_cast(text as double) = 0) then 'false'
+    when t = 'timestamp' and kind = 'number' then round(try_cast(text as double) * 1000000)::bigint::varchar
+    when t = 'timestamp' and kind = 'string' and regexp_full_match(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then epoch_us(try_cast(text || ' 00:00:00+00' as timestamptz))::varchar
+    when t = 'timestamp' and kind = 'string' and regexp_matches(text, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]') then epoch_us(try_cast(text || case when regexp_matches(text, '(Z|[+-][0-9:]+)$') and not regexp_matches(text, '^[0-9-]+$') and regexp_matches(text, '[T ][0-9:.]+(Z|[+-][0-9:]+)$') then '' else '+00' end as timestamptz))::varchar
+    when t = 'string' and kind = 'string' then text end as val from x)
+select node_id, attr from v group by 1, 2 having count(distinct val) <> 1"""
+
 ORACLES = {
+    "p1_found": _SETTLED,
     "p2_found": BASE + ", above as (select child_id as node, parent_id as top from e union select above.node, e.parent_id from above join e on e.child_id = above.top) select distinct node as node_id from above where node = top",
 }
