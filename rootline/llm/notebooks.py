@@ -20,7 +20,13 @@ import re
 from collections.abc import Sequence
 
 ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-Z\\-_]")
-TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+# Names of HTML elements that notebooks show (fixed values); other things in angle brackets are text.
+BLOCKS = "address|article|blockquote|br|caption|dd|div|dl|dt|figcaption|figure|h[1-6]|hr|img|li|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+INLINES = "a|abbr|b|center|cite|code|del|details|em|font|i|ins|kbd|mark|q|s|samp|small|span|strong|style|sub|summary|sup|tt|u|var"
+_REST = r"(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>"
+BLOCK_TAG = re.compile(rf"</?(?:{BLOCKS}){_REST}|<!--.*?-->", re.S | re.I)
+INLINE_TAG = re.compile(rf"</?(?:{INLINES}){_REST}", re.I)
+LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 IMAGE = re.compile(r"!\[[^\]]*\]\(data:[^)]*\)?|<image/\w+[ ;]base64[ ,][^>]*>?|data:image/[\w.+-]+;base64,[A-Za-z0-9+/=]+")
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
 HEAD = re.compile(r"(?:In|Out)\s?\[[ \d*]*\]: ?")
@@ -32,18 +38,19 @@ def seen(kind: str, content: str) -> str:
     """What a reader sees of the content of a cell."""
     if "\x1b" in content:
         content = ANSI.sub("", content)
-    if kind == "output":
-        if "base64" in content:
-            content = IMAGE.sub(" ", content)
-        if "<" in content and TAG.search(content):
-            content = html.unescape(TAG.sub(" ", content))
-    elif kind == "text":
-        if "base64" in content:
-            content = IMAGE.sub(" ", content)
-        if "<" in content:
-            content = TAG.sub("", content)
-        if "&" in content:
-            content = html.unescape(content)
+    if kind == "code":
+        return content
+    if "base64" in content:
+        content = IMAGE.sub(" ", content)
+    marked = kind == "text"
+    if "<" in content:
+        bare = INLINE_TAG.sub("", BLOCK_TAG.sub(" ", content))
+        marked |= bare != content
+        content = bare
+    if kind == "text" and "](" in content:
+        content = LINK.sub(r"\1", content)
+    if marked and "&" in content:
+        content = html.unescape(content)
     return content
 
 

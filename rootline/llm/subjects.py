@@ -109,9 +109,10 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     number is bounded by the words of a notebook over that share, however many notebooks there are."""
     counts = words.where("doc_id is null").select("lang", F.explode(F.arrays_zip("words", "ends")).alias("x")).groupBy("lang", F.col("x.words").alias("term")).agg(F.sum("x.ends").alias("docs"))
     counts = materialize(counts, "counts")
-    sizes = {r.lang: r.docs for r in counts.where("term = ''").collect()}
-    docs = sum(sizes.values())
-    spoken = F.col("lang").isin([k for k, v in sizes.items() if k and v >= max(20, 0.002 * docs)] or [""])
+    docs = counts.where("term = ''").agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    # languages of at least that share, so there are at most 500
+    sizes = {r.lang: r.docs for r in counts.where((F.col("term") == "") & (F.col("lang") != "") & (F.col("docs") >= max(20, 0.002 * docs))).collect()}
+    spoken = F.col("lang").isin(list(sizes))
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(1)
     share = F.max(F.when(spoken, F.col("docs") / size))
     kept = counts.where("term <> ''").groupBy("term").agg(F.sum("docs").alias("docs"), share.alias("share"))

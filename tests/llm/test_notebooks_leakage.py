@@ -5,7 +5,7 @@ import pytest
 from oracle import DATA
 
 from rootline.llm import leakage
-from rootline.llm.notebooks import read
+from rootline.llm.notebooks import read, seen
 from rootline.session import table
 
 CELL = "array<struct<cell_type:string,exec_count:int,mime:string,n_chars:bigint>>"
@@ -44,6 +44,12 @@ def test_ipynb_and_cuts():
     assert read("x", None) == [("text", "x")]
 
 
+def test_markup():
+    assert seen("text", "x<y and y>z <b>bo</b>ld a<br/>b [link text](http://a.b/c_d) &eacute; <b and c>") == "x<y and y>z bold a b link text é <b and c>"
+    assert seen("output", '<table class="x"><tr><td>a</td><td>b &amp; c</td></tr></table> <Figure size 640x480>').split() == "a b & c <Figure size 640x480>".split()
+    assert seen("code", "a = '<b>&amp;</b>'") == "a = '<b>&amp;</b>'"
+
+
 def leaked(spark, docs, items, **more):
     rows = [(i, t, f, [("text", None, None, n) for n in c]) for i, (t, f, c) in enumerate(docs)]
     found = leakage.leaked(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), **more)
