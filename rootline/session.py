@@ -86,6 +86,12 @@ def release(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all stages of this application; results that read them must have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rootline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
