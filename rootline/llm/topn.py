@@ -25,6 +25,10 @@ from rootline.session import materialize
 #: spans at most 1/256 of its value.
 BUCKET_BITS = 20
 
+#: Groups whose thresholds are sent to every task (a few hundred bytes each); beyond, rows and thresholds
+#: meet by group and one of so many salts.
+BROADCAST_GROUPS, SALTS = 50_000, 32
+
 
 def bucket(score: Column, bits: int = BUCKET_BITS) -> Column:
     """An integer that rises with the score, equal for scores that share their leading bits."""
@@ -46,6 +50,18 @@ def thresholds(scored: DataFrame, groups: list[str], n: int) -> DataFrame:
     return counts.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < n).groupBy(*groups).agg(F.min("bucket").alias("least"))
 
 
+def _above(best: DataFrame, least: DataFrame, groups: list[str], item: str) -> DataFrame:
+    """The rows at or above the threshold of their group.
+
+    Few thresholds go to all tasks, so the rows stay where they are.  Many are copied ``SALTS`` times,
+    so that the rows of one group spread over as many tasks.
+    """
+    if least.count() <= BROADCAST_GROUPS:
+        return best.join(F.broadcast(least), groups).where("bucket >= least")
+    salted = least.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return best.withColumn("_salt", F.pmod(F.hash(item), F.lit(SALTS))).join(salted, [*groups, "_salt"]).where("bucket >= least").drop("_salt")
+
+
 def top_n(scored: DataFrame, groups: list[str], item: str, score: str, n: int) -> DataFrame:
     """(*groups, rank_no, item, score): the n best items of each group."""
     if n < 1:
@@ -56,8 +72,7 @@ def top_n(scored: DataFrame, groups: list[str], item: str, score: str, n: int) -
         known = known.where(F.col(g).isNotNull())
     best = known.groupBy(*groups, item).agg(F.max(score).alias(score))
     best = materialize(best.withColumn("bucket", bucket(F.col(score))), "scored")
-    least = thresholds(best, groups, n)
-    kept = best.join(least, groups).where("bucket >= least")
+    kept = _above(best, materialize(thresholds(best, groups, n), "thresholds"), groups, item)
     order = Window.partitionBy(*groups).orderBy(F.desc(score), F.asc(item))
     return kept.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n).select(*groups, "rank_no", item, score)
 

@@ -37,6 +37,12 @@ def test_against_brute_force(spark, n):
     assert ranked(spark, rows, n) == expected(rows, n)
 
 
+def test_many_groups_meet_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 0)
+    rows = [(f"g{i % 3}", f"i{i}", float(i % 11)) for i in range(300)]
+    assert ranked(spark, rows, 4) == expected(rows, 4)
+
+
 def test_buckets_keep_the_order(spark):
     rng = random.Random(0)
     values = sorted([rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1070, 1020) for _ in range(3000)] + [0.0, math.inf, -math.inf, 5e-324, 2.0**52, 1.0, 2.0])
