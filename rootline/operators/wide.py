@@ -158,9 +158,13 @@ def _widen(folded: DataFrame, catalog: dict[str, str], keys: list[str]) -> DataF
 
 
 def delta(rows: DataFrame, catalog: dict[str, str], version: Column, batch: Column | None = None, **columns: str) -> DataFrame:
-    """The sparse wide rows of one batch, or of each batch where ``batch`` tells them apart."""
+    """The sparse wide rows of one batch, or of each batch where ``batch`` tells them apart.
+
+    The folded cells are partitioned by entity once; widening, and compacting a single delta, group
+    within that partitioning and shuffle no more.
+    """
     keys = ["entity", "batch"] if batch is not None else ["entity"]
-    return _widen(cells(rows, catalog, version, batch, **columns), catalog, keys)
+    return _widen(cells(rows, catalog, version, batch, **columns).repartition("entity"), catalog, keys)
 
 
 def _narrow(run: DataFrame, catalog: dict[str, str]) -> DataFrame:
