@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootline.functions.labels import label
-from rootline.session import materialize
+from rootline.session import materialize, release
 
 #: Links that one task unites at the last level (some 100 bytes each).
 TASK_LINKS = 500_000
@@ -299,6 +299,26 @@ def paths(edges: DataFrame, nodes: DataFrame | None = None, task_links: int = TA
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(node, descendant, distance): all pairs of a node and one below it, from ``paths``."""
+    """(node, descendant, distance): the pairs that the whole paths of ``paths`` hold.  Nodes on or
+    below a loop of first parents have no path; ``all_descendants`` has every pair."""
     every = paths.where("path is not null").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "node"))
     return every.where("node <> descendant").select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def all_descendants(edges: DataFrame) -> DataFrame:
+    """(node, descendant, distance): all pairs of a node and another below it along any parents, by
+    the least number of edges between them.  Nodes on and below loops are like any others, but no
+    node is its own descendant.
+
+    The reach doubles: of two nodes further apart than it, one lies exactly that far below the upper
+    one on a shortest way, and within reach of the lower one.
+    """
+    pairs = materialize(edges.where("child <> parent").select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")), "pairs")
+    reach = 1
+    while not (far := pairs.where(F.col("distance") == reach)).isEmpty():
+        near = pairs.select(F.col("node").alias("via"), "descendant", F.col("distance").alias("rest"))
+        more = far.select("node", F.col("descendant").alias("via")).join(near, "via").where("node <> descendant").select("node", "descendant", (F.col("rest") + reach).alias("distance"))
+        grown = materialize(pairs.unionByName(more).groupBy("node", "descendant").agg(F.min("distance").alias("distance")), "pairs")
+        release(pairs)
+        pairs, reach = grown, 2 * reach
+    return pairs

@@ -49,8 +49,9 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of each node by first parents."""
-    return hierarchy.descendants(_paths(spark, sf_dir)).select(F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
+    """All descendants of each node along any parents, by their least distance."""
+    prepare(spark)
+    return hierarchy.all_descendants(hierarchy.edges(table(spark, sf_dir, "edge"))).select(F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
+import tempfile
 
 import numpy as np
 import pytest
 
 from rootline.operators import hierarchy as h
+from rootline.plans import reshape
 
 SCHEMA = "child_id string, parent_id string, ordinal int"
 
@@ -66,6 +68,32 @@ def test_descendants(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
 
 
+def test_all_descendants_of_loops_and_further_parents(spark):
+    """The query against walks from each node."""
+    rng = random.Random(8)
+    rows = [("y", "l", 0), ("z", "y", 0), ("l", "l", 0), ("a", "b", 0), ("b", "a", 0), ("t", "a", 0), ("u", "t", 1), ("u", "z", 0)]
+    rows += [(f"c{i}", f"c{i - 1}", 0) for i in range(1, 40)] + [("c9", "c2", 1)]
+    rows += [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", i) for i in range(44)]
+    below = {}
+    for c, p, _ in rows:
+        below.setdefault(p, set()).add(c)
+    expected = set()
+    for start in below:
+        far, front, step = {start: 0}, [start], 0
+        while front:
+            step += 1
+            front = list({c for p in front for c in below.get(p, ())} - far.keys())
+            far |= dict.fromkeys(front, step)
+        expected |= {(start, n, d) for n, d in far.items() if d}
+    assert {("l", "y", 1), ("l", "z", 2), ("y", "z", 1), ("a", "b", 1), ("a", "u", 2), ("l", "u", 3)} <= expected
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/edge.parquet")
+        spark.createDataFrame([], "node_id string").write.parquet(f"{folder}/node.parquet")
+        got = [tuple(r) for r in reshape.p2_descendants(spark, folder).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert h.all_descendants(table(spark, [])).count() == 0
+
+
 def test_empty_and_extra_columns(spark):
     empty = table(spark, [])
     assert h.cycle_nodes(empty).count() == 0
