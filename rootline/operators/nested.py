@@ -14,15 +14,15 @@ A path is ``$``, then ``.name`` for a member (name as written) and ``[i]`` for a
 
 Defined results: a value that is a JSON string holding the JSON of an object or array is read as
 that; bare NaN is allowed; null, scalars and anything that is not valid JSON (trailing text,
-Infinity, single quotes, cut off) make no row, and neither does nesting beyond the parser's own
-recursion limit (several thousand levels); of a name that an object holds twice the last counts;
-equal rows of the source give equal rows here, which ``distinct`` unites.  Other columns of the
-input are ignored.
+Infinity, single quotes, cut off) make no row; neither depth nor the length of a number is limited;
+of a name that an object holds twice the last counts; equal rows of the source give equal rows here,
+which ``distinct`` unites.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +35,11 @@ from rootline.functions.labels import label
 #: (ids as member names) do not make a schema.
 MAX_COLUMNS = 100_000
 
-BATCH_ROWS = 20_000
+#: Rows and characters of paths that a batch of results holds.
+BATCH_ROWS, BATCH_CHARS = 20_000, 32_000_000
+
+#: Digits up to which an integer is read as one; Python refuses to convert more than 4,300.
+INT_DIGITS = 4_000
 
 
 def _refuse(name: str):
@@ -44,7 +48,77 @@ def _refuse(name: str):
     return float("nan")
 
 
-_decode = json.JSONDecoder(parse_constant=_refuse).decode
+class _Digits(str):
+    """An integer of too many digits to convert, as written."""
+
+
+def _integer(digits: str):
+    return int(digits) if len(digits) <= INT_DIGITS else _Digits(digits)
+
+
+_decoder = json.JSONDecoder(parse_constant=_refuse, parse_int=_integer)
+_spaces = re.compile(r"[ \t\n\r]*").match
+
+
+def _decode_deep(text: str):
+    """What the decoder reads, with a stack of its own in place of recursion."""
+
+    def skip(at: int) -> int:
+        return _spaces(text, at).end()
+
+    def name(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no name at {at}")
+        found, at = json.decoder.scanstring(text, at + 1, True)
+        if text[(at := skip(at)) : at + 1] != ":":
+            raise ValueError(f"no value at {at}")
+        return found, skip(at + 1)
+
+    at, around = skip(0), []  # the open containers, each with the name that its next value gets
+    while True:
+        if (c := text[at : at + 1]) in ("{", "["):
+            value = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                member = None
+                if c == "{":
+                    member, at = name(at)
+                around.append((value, member))
+                continue
+            at += 1
+        else:
+            try:
+                value, at = _decoder.scan_once(text, at)
+            except StopIteration:
+                raise ValueError(f"no value at {at}") from None
+        while around:
+            holder, member = around.pop()
+            if member is None:
+                holder.append(value)
+            else:
+                holder[member] = value
+            at = skip(at)
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = skip(at)
+                if member is not None:
+                    member, at = name(at)
+                around.append((holder, member))
+                break
+            if c != ("]" if member is None else "}"):
+                raise ValueError(f"not closed at {at}")
+            value = holder
+        else:
+            if skip(at) != len(text):
+                raise ValueError(f"more text at {at}")
+            return value
+
+
+def _decode(text: str):
+    try:
+        return _decoder.decode(text)
+    except RecursionError:
+        return _decode_deep(text)
 
 
 def parse(value: str | None):
@@ -53,11 +127,15 @@ def parse(value: str | None):
         found = _decode(value) if value else None
         if isinstance(found, str):
             found = _decode(found)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
     return found if isinstance(found, dict | list) else None
 
 
+def _text(scalar) -> str:
+    return str(scalar) if isinstance(scalar, _Digits) else json.dumps(scalar)
+
+
 def _members(row: dict) -> dict[str, str]:
     """The columns of a row: scalars as JSON text, member objects flattened, arrays of scalars as text."""
     out, work = {}, [("", row)]
@@ -67,9 +145,9 @@ def _members(row: dict) -> dict[str, str]:
             if isinstance(item, dict):
                 work.append((f"{before}{name}.", item))
             elif not isinstance(item, list):
-                out[before + name] = json.dumps(item)
+                out[before + name] = _text(item)
             elif not any(isinstance(x, dict | list) for x in item):
-                out[before + name] = json.dumps(item, separators=(",", ":"))
+                out[before + name] = f"[{','.join(map(_text, item))}]"
     return out
 
 
@@ -78,26 +156,35 @@ def walk(value) -> Iterator[tuple[str, str | None, str, int | None, dict]]:
     is an element of an array."""
     if isinstance(value, dict):
         yield "$", None, "$", None, value
-    work = [(value, "$", "$", "$")]
+    # below the owner's row, the steps to a container are linked and joined only where rows need them
+    work = [(value, "$", "$", None)]
     while work:
-        at, path, level, owner = work.pop()
+        at, owner, level, steps = work.pop()
         if isinstance(at, dict):
             for name, item in at.items():
                 if isinstance(item, dict | list):
-                    work.append((item, f"{path}.{name}", f"{level}.{name}", owner))
+                    work.append((item, owner, level, (steps, f".{name}", f".{name}")))
             continue
+        if any(isinstance(item, dict) for item in at):
+            parts, back = [], steps
+            while back:
+                parts.append(back)
+                back = back[0]
+            before = owner + "".join(p[1] for p in reversed(parts))
+            inner = f"{level}{''.join(p[2] for p in reversed(parts))}[]"
         for i, item in enumerate(at):
             if isinstance(item, dict):
-                here = f"{path}[{i}]"
-                yield here, owner, f"{level}[]", i, item
-                work.append((item, here, f"{level}[]", here))
+                here = f"{before}[{i}]"
+                yield here, owner, inner, i, item
+                work.append((item, here, inner, None))
             elif isinstance(item, list):
-                work.append((item, f"{path}[{i}]", f"{level}[]", owner))
+                work.append((item, owner, level, (steps, f"[{i}]", "[]")))
 
 
 def _shredder(n_keys: int, columns: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in schema]
+        chars = 0
         for batch in batches:
             for *keys, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found = parse(value)
@@ -106,9 +193,10 @@ def _shredder(n_keys: int, columns: bool, schema: pa.Schema):
                 for path, parent, level, ordinal, row in walk(found):
                     for held, item in zip(out, [*keys, path, parent, level, ordinal, *([list(_members(row).items())] if columns else [])], strict=True):
                         held.append(item)
-                if len(out[0]) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-                    out = [[] for _ in schema]
+                    chars += len(path) + len(level)
+                    if len(out[0]) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                        out, chars = [[] for _ in schema], 0
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 

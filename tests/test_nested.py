@@ -43,6 +43,30 @@ def test_deep_and_long(spark):
     assert found(spark, "[" * 200_000 + "]" * 200_000) == set()
 
 
+def test_any_depth_and_any_number(spark):
+    digits, deep = "7" * 5000, 30_000
+    values = [f'[{{"n":{digits}}}]', "[" * deep + ' { "x" : [ {} ] } , 1' + "]" * deep, '{"a":' * deep + "[{}]" + "}" * deep, json.dumps("[" * deep + "{}" + "]" * deep)]
+    bad = ["[" * deep + "{}," + "]" * deep, "[" * deep + "{}" + "]" * (deep - 1), '{"a":' * deep + "[{}]" + "}" * deep + " x", "[" * deep + "Infinity, {}" + "]" * deep]
+    inner = "$" + "[0]" * deep
+    assert found(spark, *values, *bad) == {("n0", "$[0]", "$"), ("n1", inner, "$"), ("n1", f"{inner}.x[0]", inner), ("n2", "$" + ".a" * deep + "[0]", "$"), ("n3", inner, "$")}
+    row = next(r for r in nested.shred(spark.createDataFrame([("n", "k", f'[{{"n":{digits},"m":[{digits},1,"a"]}}]')], SCHEMA)).collect() if r.path == "$[0]")
+    assert row.members == {"n": digits, "m": f'[{digits},1,"a"]'}
+
+
+def test_deep_decoder_equals_the_plain_one():
+    texts = ['{"a": [1, {"b": null}, "x\\u00e9", -1.5e3, true], "a": []}', " [ ] ", "{}", '{"a":1,}', "[1,]", "[1 2]", '{"a" 1}', "{1:2}", "[1]]", "", "[", "[NaN]", "[-Infinity]", '["a\nb"]', "5", '"s"']
+    for text in texts:
+        try:
+            plain = repr(nested._decoder.decode(text))
+        except ValueError:
+            plain = None
+        try:
+            deep = repr(nested._decode_deep(text))
+        except ValueError:
+            deep = None
+        assert deep == plain, text
+
+
 def test_tables_and_schema(spark):
     rows = [("n", "k", '{"run":"r","items":[{"id":1,"pos":{"x":1.5},"tags":["a"],"sub":[{"t":true}]},{"id":2.5,"pos":{"x":null}},{"id":"z"}]}')]
     shredded = nested.shred(spark.createDataFrame(rows, SCHEMA))
