@@ -38,6 +38,7 @@ MAX_ATTRIBUTES = 10_000
 COLUMN_TYPES = {"double": T.DoubleType(), "long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType(), "timestamp": T.TimestampType()}
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+DIGITS = r"^[+-]?(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
 ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)\s*(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 #: Name of the end mark, see ``given``.
 END = "endOfGivenValue"
@@ -73,6 +74,15 @@ def _instant(text: Column) -> Column:
     return F.unix_micros(at).cast("string")
 
 
+def _whole(number: Column) -> Column:
+    """Whether a decimal number as text is whole, by its digits: none but zeros after the point, once
+    the exponent has moved it."""
+    before, after, exponent = (F.regexp_extract(number, DIGITS, i) for i in (1, 2, 3))
+    held = F.length(F.rtrim(F.concat(before, after), F.lit("0")))
+    moved = F.when(exponent == "", 0).otherwise(F.coalesce(exponent.try_cast("int"), F.lit(-(2**31)))).cast("bigint")
+    return (held == 0) | (held <= F.length(before) + moved)
+
+
 def readings(given: DataFrame) -> DataFrame:
     """Add ``val``, the canonical text of what a row gives under its ``col_type``, to rows with
     ``kind`` (number, boolean, string or other) and ``text``; null where it can't be read.  Equal
@@ -85,13 +95,14 @@ def readings(given: DataFrame) -> DataFrame:
     steps = steps.withColumns({
         "_double": F.col("_number").try_cast("double"),
         "_exact": F.when(F.col("col_type") == "long", F.col("_number").try_cast("decimal(38,12)")),
+        "_whole": F.when((F.col("col_type") == "long") & F.col("_number").rlike(NUMBER), _whole(F.col("_number"))),
         "_word": F.when(F.col("col_type") == "boolean", F.lower("text")),
         "_instant": F.when((F.col("col_type") == "timestamp") & (F.col("kind") == "string") & F.col("text").rlike(ISO), _instant(F.col("text"))),
     })
     text, number = F.col("kind") == "string", F.col("kind") == "number"
     truth = F.when((text & F.col("_word").isin("true", "yes", "1")) | (F.col("_word") == "true") | (number & (F.col("_double") == 1)), "true")
     truth = truth.when((text & F.col("_word").isin("false", "no", "0")) | (F.col("_word") == "false") | (number & (F.col("_double") == 0)), "false")
-    whole = F.when((F.col("_exact") == F.floor("_exact")) & ((F.col("_exact") != 0) | (F.col("_double") == 0)), F.col("_exact").try_cast("bigint"))
+    whole = F.when(F.col("_whole"), F.col("_exact").try_cast("bigint"))
     value = (
         F.when(F.col("col_type") == "double", F.when(F.abs("_double") < float("inf"), (F.col("_double") + F.lit(0.0)).cast("string")))
         .when(F.col("col_type") == "long", whole.cast("string"))
@@ -99,7 +110,7 @@ def readings(given: DataFrame) -> DataFrame:
         .when(F.col("col_type") == "timestamp", F.coalesce(F.col("_instant"), F.when(number, F.round(F.col("_double") * 1e6).try_cast("bigint").cast("string"))))
         .when(text, F.col("text"))
     )
-    return steps.withColumn("val", value).drop("_number", "_double", "_exact", "_word", "_instant")
+    return steps.withColumn("val", value).drop("_number", "_double", "_exact", "_whole", "_word", "_instant")
 
 
 def typed(canonical: Column, col_type: str) -> Column:

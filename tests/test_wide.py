@@ -65,6 +65,20 @@ def test_readings(spark):
     assert set(got.unsettled) == {f"a{i}" for i, c in enumerate(cases) if c[2] is None}
 
 
+def test_whole_by_all_digits(spark):
+    """A long is whole by its digits, not by what is left of them after rounding."""
+    cases = {
+        "1.0000000000001": None, "1.00000000000000000000000000000000001": None, "0.9999999999999": None, "10000000000001e-13": None, "1e-400": None, "1e-99999999999": None, "9007199254740993.5": None,
+        "1.0000000000000": 1, "-10000000000000e-13": -1, "1.5e1": 15, "00120e-1": 12, "0.0000000000000e5": 0, "0e-50": 0, "9007199254740993.000": 9007199254740993, "5.": 5, ".5e1": 5,
+    }
+    catalog = {f"a{i}": "long" for i in range(len(cases))}
+    got = wide.table(run(spark, [("x", f"a{i}", f'"{v}"', None, i) for i, v in enumerate(cases)], catalog), catalog).first()
+    assert {v: got[f"a{i}"] for i, v in enumerate(cases)} == cases
+    assert set(got.unsettled) == {f"a{i}" for i, v in enumerate(cases.values()) if v is None}
+    assert cell(spark, "long", ("1", None), ("1.0000000000001", None), (None, 1.0)) == (1, [])
+    assert cell(spark, "long", (None, math.inf)) == (None, ["c"])
+
+
 def test_nothing_given(spark):
     for value in ("null", "NaN", "", "  ", '""', '"  "', None):
         assert cell(spark, "double", (value, None)) is None
