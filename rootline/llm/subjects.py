@@ -40,10 +40,14 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 #: Labelled notebooks that may be used to name leaves; which ones is decided by a hash of the id.
 MAX_LABELLED = 50_000
 
-#: A term is boilerplate of a language beyond this share of its notebooks, and noise below that share
-#: of all notebooks or that many of them.
+#: A term is boilerplate of a language beyond this share of its notebooks, and noise where it reaches
+#: that share, and that many, of the notebooks of no language.
 BOILERPLATE, RARE, RARE_DOCS = 0.3, 0.001, 3
 
+#: Terms that a vocabulary may have, since sums by leaf and term come to the driver; a larger one is
+#: refused.
+MAX_TERMS = 300_000
+
 DIMENSIONS, LEAVES, LEVELS = 128, 48, 6
 
 #: Rounds of reassigning cells, and the weight of a notebook's code in all but the last.
@@ -105,8 +109,8 @@ class Vocabulary:
 
 
 def vocabulary(words: DataFrame) -> Vocabulary:
-    """Terms between noise and boilerplate.  A share of all notebooks is needed to be one, so their
-    number is bounded by the words of a notebook over that share, however many notebooks there are."""
+    """Terms between noise and boilerplate, at most ``MAX_TERMS``.  The noise floor holds by language,
+    so that a language of few notebooks among many others has terms as well."""
     counts = words.where("doc_id is null").select("lang", F.explode(F.arrays_zip("words", "ends")).alias("x")).groupBy("lang", F.col("x.words").alias("term")).agg(F.sum("x.ends").alias("docs"))
     counts = materialize(counts, "counts")
     docs = counts.where("term = ''").agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
@@ -115,9 +119,12 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     spoken = F.col("lang").isin(list(sizes))
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(1)
     share = F.max(F.when(spoken, F.col("docs") / size))
-    kept = counts.where("term <> ''").groupBy("term").agg(F.sum("docs").alias("docs"), share.alias("share"))
-    kept = kept.where((F.col("docs") >= max(RARE_DOCS, RARE * docs)) & (F.coalesce("share", F.lit(0.0)) <= BOILERPLATE) & (F.col("docs") <= BOILERPLATE * docs + 1))
-    rows = sorted((r.term, r.docs) for r in kept.collect())
+    common = F.max(F.when(spoken, F.col("docs") >= F.greatest(F.lit(float(RARE_DOCS)), RARE * size)).otherwise(False))
+    kept = counts.where("term <> ''").groupBy("term").agg(F.sum("docs").alias("docs"), share.alias("share"), common.alias("common"))
+    kept = kept.where((F.col("common") | (F.col("docs") >= max(RARE_DOCS, RARE * docs))) & (F.coalesce("share", F.lit(0.0)) <= BOILERPLATE) & (F.col("docs") <= BOILERPLATE * docs + 1))
+    rows = sorted((r.term, r.docs) for r in kept.limit(MAX_TERMS + 1).collect())
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
     return Vocabulary([t for t, _ in rows], np.log((docs + 1) / (np.array([n for _, n in rows], dtype=float) + 1)), docs)
 
 

@@ -117,6 +117,21 @@ def test_subjects_agree_with_held_out_labels(spark):
     assert len(set(model.names.values())) == 10
 
 
+def counted(spark, *groups):
+    """Words as ``split`` stores them, of groups (language, notebooks, {word: notebooks})."""
+    rows = [(None, lang, None, [n, *words.values()], ["", *words]) for lang, n, words in groups]
+    return spark.createDataFrame(rows, subjects.STAGE)
+
+
+def test_terms_of_a_small_language(spark, monkeypatch):
+    """Terms of a language of 0.5 % of 100,000 notebooks; noise stays out."""
+    words = counted(spark, ("en", 99_500, {"kiln": 120, "typo": 40}), ("fi", 500, {"saha": 40, "puu": 3, "virhe": 2}))
+    assert subjects.vocabulary(words).terms == ["kiln", "puu", "saha"]
+    monkeypatch.setattr(subjects, "MAX_TERMS", 2)
+    with pytest.raises(ValueError, match="more than 2 terms"):
+        subjects.vocabulary(words)
+
+
 def test_subjects_of_odd_tables(spark):
     schema = f"doc_id long, text string, nb_format string, lang string, cells {CELL}, subject string"
     names = spark.createDataFrame([("law", "Courts"), ("sport", None), (None, "x")], "subject string, description string")
