@@ -23,13 +23,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rootline.functions.labels import label
 from rootline.llm.notebooks import batch_cells, compact_columns
@@ -102,6 +103,8 @@ class Vocabulary:
     terms: list[str]
     idf: np.ndarray
     docs: int
+    #: the terms that are boilerplate in notebooks of a language; under "" those of all other languages
+    barred: dict[str, np.ndarray] = field(default_factory=dict)
 
     @property
     def number(self) -> dict[str, int]:
@@ -118,14 +121,23 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     sizes = {r.lang: r.docs for r in counts.where((F.col("term") == "") & (F.col("lang") != "") & (F.col("docs") >= max(20, 0.002 * docs))).collect()}
     spoken = F.col("lang").isin(list(sizes))
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(1)
-    share = F.max(F.when(spoken, F.col("docs") / size))
-    common = F.max(F.when(spoken, F.col("docs") >= F.greatest(F.lit(float(RARE_DOCS)), RARE * size)).otherwise(False))
-    kept = counts.where("term <> ''").groupBy("term").agg(F.sum("docs").alias("docs"), share.alias("share"), common.alias("common"))
-    kept = kept.where((F.col("common") | (F.col("docs") >= max(RARE_DOCS, RARE * docs))) & (F.coalesce("share", F.lit(0.0)) <= BOILERPLATE) & (F.col("docs") <= BOILERPLATE * docs + 1))
-    rows = sorted((r.term, r.docs) for r in kept.limit(MAX_TERMS + 1).collect())
+    group = F.when(spoken, F.col("lang")).otherwise("")
+    every = F.sum("docs").over(Window.partitionBy("term"))
+    each = counts.where("term <> ''").withColumn("all_docs", every).select("term", "docs", "all_docs", group.alias("group"), F.when(spoken, size).alias("size"))
+    frequent = F.when(F.col("group") != "", F.col("docs") / F.col("size") > BOILERPLATE).otherwise(F.col("all_docs") > BOILERPLATE * docs + 1)
+    common = F.coalesce(F.col("docs") >= F.greatest(F.lit(float(RARE_DOCS)), RARE * F.col("size")), F.lit(False))
+    each = each.withColumns({"barred": frequent, "common": common})
+    kept = each.groupBy("term").agg(F.max("all_docs").alias("docs"), F.max("common").alias("common"), F.bool_and("barred").alias("everywhere"), F.collect_set(F.when(F.col("barred"), F.col("group"))).alias("barred"))
+    kept = kept.where((F.col("common") | (F.col("docs") >= max(RARE_DOCS, RARE * docs))) & ~F.col("everywhere"))
+    rows = sorted((r.term, r.docs, r.barred) for r in kept.select("term", "docs", "barred").limit(MAX_TERMS + 1).collect())
     if len(rows) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")
-    return Vocabulary([t for t, _ in rows], np.log((docs + 1) / (np.array([n for _, n in rows], dtype=float) + 1)), docs)
+    barred: dict[str, list[int]] = {}
+    for i, (_, _, groups) in enumerate(rows):
+        for lang in groups:
+            barred.setdefault(lang, []).append(i)
+    barred = {lang: np.array(barred.get(lang, []), dtype=np.int32) for lang in [*sizes, ""]}
+    return Vocabulary([t for t, *_ in rows], np.log((docs + 1) / (np.array([n for _, n, _ in rows], dtype=float) + 1)), docs, barred)
 
 
 VECTORS = "doc_id long, kinds string, ends array<int>, terms array<int>, vector binary"
@@ -136,6 +148,7 @@ def vectors(words: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS, s
     notebook, stored; a notebook without terms has the zero vector."""
     number = words.sparkSession.sparkContext.broadcast(vocab.number)
     weights = words.sparkSession.sparkContext.broadcast(vocab.idf.astype(np.float32))
+    barred = words.sparkSession.sparkContext.broadcast(vocab.barred)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, idf = number.value.get, weights.value
@@ -146,11 +159,12 @@ def vectors(words: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS, s
             lookup = np.fromiter((get(w, -1) for w in coded.dictionary.to_pylist()), dtype=np.int32, count=len(coded.dictionary))
             codes = lookup[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int32)
             starts = np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))])
-            ends = batch.column(2).to_pylist()
+            ends, langs = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             out_ends, out_terms, out_vectors = [], [], []
             for i in range(batch.num_rows):
                 own = codes[starts[i] : starts[i + 1]]
-                kept = own >= 0
+                out_of = barred.value.get(langs[i], barred.value.get("", ()))
+                kept = (own >= 0) & ~np.isin(own, out_of) if len(out_of) else own >= 0
                 out_ends.append(np.concatenate([[0], np.cumsum(kept)])[ends[i]].astype(np.int32) if ends[i] else np.empty(0, np.int32))
                 own = own[kept]
                 out_terms.append(own)
@@ -160,7 +174,7 @@ def vectors(words: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS, s
                 out_vectors.append((v / size if size else v).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out_ends, pa.list_(pa.int32())), pa.array(out_terms, pa.list_(pa.int32())), pa.array(out_vectors, pa.binary())], names=["doc_id", "kinds", "ends", "terms", "vector"])
 
-    return materialize(words.where("doc_id is not null").select("doc_id", "kinds", "ends", "words").mapInArrow(run, VECTORS), "vectors")
+    return materialize(words.where("doc_id is not null").select("doc_id", "kinds", "ends", "words", "lang").mapInArrow(run, VECTORS), "vectors")
 
 
 class Tree:

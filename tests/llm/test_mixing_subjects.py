@@ -132,6 +132,16 @@ def test_terms_of_a_small_language(spark, monkeypatch):
         subjects.vocabulary(words)
 
 
+def test_boilerplate_of_one_language(spark):
+    """Most notebooks of a small language share a subject; its terms stay with the other language."""
+    words = counted(spark, ("en", 1000, {"goal": 50, "the": 900}), ("fi", 50, {"goal": 30, "the": 40, "saha": 10}), ("", 5, {"goal": 1, "the": 4}))
+    vocab = subjects.vocabulary(words)
+    assert vocab.terms == ["goal", "saha"] and {k: v.tolist() for k, v in vocab.barred.items()} == {"en": [], "fi": [0], "": []}
+    rows = [(i, lang, "t", [3], ["goal", "saha", "the"]) for i, lang in enumerate(["en", "fi", ""])]
+    got = {r.doc_id: (r.terms, r.ends) for r in subjects.vectors(spark.createDataFrame(rows, subjects.STAGE), vocab).collect()}
+    assert got == {0: ([0, 1], [2]), 1: ([1], [1]), 2: ([0, 1], [2])}
+
+
 def test_subjects_of_odd_tables(spark):
     schema = f"doc_id long, text string, nb_format string, lang string, cells {CELL}, subject string"
     names = spark.createDataFrame([("law", "Courts"), ("sport", None), (None, "x")], "subject string, description string")
