@@ -21,6 +21,7 @@ leaves; an empty corpus gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -448,6 +449,8 @@ def fit(points: DataFrame, vocab: Vocabulary, descriptions: dict[str, str], labe
     says = speaking(leaves, names, subjects)
     for r in range(rounds):
         says = sharpen(points, says, CONTEXT if r < rounds - 1 else 0.0)
+    if silent := [s for s, said in zip(subjects, says.any(axis=0), strict=True) if not said]:
+        warnings.warn(f"no terms speak for {len(silent)} of {len(subjects)} subjects, so no notebook gets them: {', '.join(silent[:20])}", stacklevel=3)
     return Model(subjects, vocab, tree, names, says)
 
 

@@ -142,6 +142,15 @@ def test_boilerplate_of_one_language(spark):
     assert got == {0: ([0, 1], [2]), 1: ([1], [1]), 2: ([0, 1], [2])}
 
 
+def test_subjects_without_a_leaf_are_reported(spark):
+    schema = f"doc_id long, text string, nb_format string, lang string, cells {CELL}, subject string"
+    texts = ["court verdict judge appeal", "match goal league team", "flour oven dough salt", "violin chord tempo opera"]
+    rows = [(i, texts[i % 4], "md", "en", None, "x") for i in range(40)]
+    names = spark.createDataFrame([("law", "Courts"), ("sport", "Goals"), ("weaving", "Looms")], "subject string, description string")
+    with pytest.warns(UserWarning, match="no terms speak for .*weaving"):
+        subjects.classify(spark.createDataFrame(rows, schema), names)
+
+
 def test_subjects_of_odd_tables(spark):
     schema = f"doc_id long, text string, nb_format string, lang string, cells {CELL}, subject string"
     names = spark.createDataFrame([("law", "Courts"), ("sport", None), (None, "x")], "subject string, description string")
