@@ -11,10 +11,10 @@ from rootline.session import prepare, table
 
 
 def _wide_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
-    """All rows of metadata as a compacted run; the rows of each file are a batch."""
+    """All rows of metadata as a compacted run, from the deltas of their batches in order of arrival."""
     prepare(spark)
     catalog = wide.read_catalog(table(spark, sf_dir, "attr_catalog"))
-    deltas = wide.delta(table(spark, sf_dir, "metadata"), catalog, wide.file_version(), batch=F.col("_metadata.file_name"))
+    deltas = wide.delta(wide.arrivals(table(spark, sf_dir, "metadata")), catalog, F.col("version"), batch=F.col("batch"))
     return wide.compact(catalog, deltas), catalog
 
 

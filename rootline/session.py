@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM never compiles a method of more bytes, so a longer one is better run operator by operator
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

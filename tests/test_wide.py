@@ -132,6 +132,48 @@ def test_store_of_runs(spark, tmp_path):
     assert (before[0].acc, before[0].n) == (1.0, 7)
 
 
+def test_store_with_two_writers(spark, tmp_path):
+    """Runs published meanwhile survive, a second compaction gives way, readers keep what they read."""
+    store = wide.WideStore(spark, str(tmp_path), CATALOG)
+    assert store.read().collect() == [] and not store.compact() and set(store.read().columns) == {"entity", "unsettled", *CATALOG}
+    one = lambda i: spark.createDataFrame([("x", "n", "7", None, i)], SCHEMA)
+    for i in range(2):
+        store.upsert(one(i), F.col("at"))
+    reading, old, write = store.read(), store.runs(), store._write
+
+    def late(run):
+        name = write(run)
+        store._write = write
+        store.upsert(spark.createDataFrame([("y", "acc", "1", None, 9)], SCHEMA), F.col("at"))
+        return name
+
+    store._write = late
+    assert store.compact() and len(store.runs()) == 2 and not set(store.runs()) & set(old)
+    assert [r.n for r in reading.collect()] == [7]
+    assert {(r.entity, r.acc, r.n) for r in store.read().collect()} == {("x", None, 7), ("y", 1.0, None)}
+    assert not store._claim(store._number(), ["lost"])
+
+    def other(run):
+        store._write = write
+        assert store.compact()
+        return write(run)
+
+    store._write = other
+    assert not store.compact() and len(store.runs()) == 1
+    assert store.vacuum() == 0 and store.vacuum(-1) == 5 and store.read().count() == 2
+
+
+def test_arrivals_number_files_and_batches(spark, tmp_path):
+    """Files of the same name in different folders have versions of their own."""
+    for i, part in enumerate(("p=1", "p=2")):
+        folder = tmp_path / part
+        folder.mkdir()
+        spark.createDataFrame([("x", "acc", str(10 * i + j), None, j) for j in range(5)], SCHEMA).coalesce(1).write.parquet(str(folder / "t"))
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
+    got = sorted((r.version, r.batch, r.value) for r in wide.arrivals(rows, 2).collect())
+    assert len({v for v, *_ in got}) == 10 and len({b for _, b, _ in got}) == 6 and [v for *_, v in got] == [str(x) for x in (*range(5), *range(10, 15))]
+
+
 def brute(rows, catalog):
     """The cells that aren't settled, by Python's own parsers."""
     blanks, number = " \t\n\r\x0b\x0c\xa0", re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
@@ -187,7 +229,7 @@ def brute(rows, catalog):
 
 def test_against_brute_force(spark):
     catalog = wide.read_catalog(table(spark, DATA, "attr_catalog"))
-    deltas = wide.delta(table(spark, DATA, "metadata"), catalog, wide.file_version(), batch=F.col("_metadata.file_name"))
+    deltas = wide.delta(wide.arrivals(table(spark, DATA, "metadata"), 300), catalog, F.col("version"), batch=F.col("batch"))
     got = {(r.entity, r.attr) for r in wide.unsettled(wide.compact(catalog, deltas), catalog).collect()}
     assert got == brute(pq.read_table(f"{DATA}/metadata.parquet").to_pylist(), catalog)
     assert got
