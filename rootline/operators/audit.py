@@ -48,7 +48,7 @@ def generations(frames: LineageFrames, triggers: list[str], task_edges: int = TA
         frames.edge.join(known.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").join(known.select(F.col("node_id").alias("child_id"), F.col("step_type").isin(triggers).alias("bump")), "child_id").select(F.col("parent_id").alias("a"), F.col("child_id").alias("b"), F.coalesce("bump", F.lit(False)).alias("bump")),
         "edges",
     )
-    if edges.count() <= task_edges:
+    if edges.count() + known.count() <= task_edges:
         plus = edges.select("a", F.when(F.col("bump"), F.concat(F.lit("+"), F.col("b"))).otherwise(F.concat(F.lit("="), F.col("b"))).alias("b"))
         every = plus.union(known.select(F.lit(None).cast("string"), F.concat(F.lit("="), F.col("node_id"))))
 

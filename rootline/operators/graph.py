@@ -19,7 +19,7 @@ from rootline.operators.find import ORDER
 from rootline.schema import IntegrityError
 from rootline.session import materialize, release
 
-#: Edges that one task walks (some 100 bytes each).
+#: Edges, and nodes or seeds beside them, that one task walks (some 100 bytes each).
 TASK_EDGES = 1_000_000
 
 
@@ -49,8 +49,8 @@ def _in_one_task(edges: DataFrame, work, schema: str) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, distance): the nodes reached over edges (a, b) from a to b, from seeds (node), by their
     least distance; a seed is at 0.  Cycles end where they close."""
-    edges, seeds = materialize(edges.select("a", "b"), "edges"), seeds.select("node").distinct()
-    if edges.count() <= task_edges:
+    edges, seeds = materialize(edges.select("a", "b"), "edges"), materialize(seeds.select("node").distinct(), "seeds")
+    if edges.count() + seeds.count() <= task_edges:
         marked = edges.union(seeds.select(F.lit(None).cast("string"), F.col("node")))
 
         def walk(a: list, b: list) -> Iterator[tuple[str, int]]:
@@ -122,33 +122,28 @@ def lineage_order(frames: LineageFrames, node_id: str, most: int = TASK_EDGES) -
     parents = defaultdict(list)
     for r in rows:
         parents[r.child_id].append(r.parent_id)
-    done, on_path, out, stack = set(), set(), [], [(node_id, False)]
-    while stack:
-        at, leaving = stack.pop()
-        if leaving:
-            on_path.discard(at)
-            done.add(at)
-            out.append(at)
-        elif at not in done:
-            if at in on_path:
-                raise IntegrityError(f"a cycle leads through {at}")
-            on_path.add(at)
-            stack.append((at, True))
-            for p in parents[at]:
-                if p in on_path:
-                    raise IntegrityError(f"a cycle leads through {p}")
-                if p not in done:
-                    stack.append((p, False))
-    return out
+    placed: dict[str, None] = {}  # in order
+    trail: dict[str, Iterator[str]] = {node_id: reversed(parents[node_id])}  # from the node upwards, with the parents still to see
+    while trail:
+        at = next(reversed(trail))
+        above_at = next((p for p in trail[at] if p not in placed), None)
+        if above_at is None:
+            trail.pop(at)
+            placed[at] = None
+        elif above_at in trail:
+            raise IntegrityError(f"a cycle leads through {above_at}")
+        else:
+            trail[above_at] = reversed(parents[above_at])
+    return list(placed)
 
 
 def levels(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, level, settled): the longest path from a root, roots at 0, over edges (a, b) from parent
     to child.  Nodes on a cycle or below one aren't settled: their level counts only the paths that
     come from roots past settled nodes."""
-    edges, nodes = materialize(edges.select("a", "b"), "edges"), nodes.select("node").distinct()
+    edges, nodes = materialize(edges.select("a", "b"), "edges"), materialize(nodes.select("node").distinct(), "nodes")
     loops = None
-    if edges.count() <= task_edges:
+    if edges.count() + nodes.count() <= task_edges:
 
         def work(a: list, b: list) -> Iterator[tuple[str, int, bool]]:
             out, waiting, level = defaultdict(list), defaultdict(int), {}
@@ -194,11 +189,15 @@ def node_levels(frames: LineageFrames) -> DataFrame:
     return levels(known.withColumnRenamed("node_id", "node"), inner.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")))
 
 
-def _doomed(target: str, a: list[str], b: list[str]) -> Iterator[tuple[str, int]]:
+def _doomed(target: str, a: list[str | None], b: list[str]) -> Iterator[tuple[str, int]]:
+    known = {y for x, y in zip(a, b, strict=True) if x is None}
+    if target not in known:
+        return
     below, parents = defaultdict(list), defaultdict(set)
     for x, y in zip(a, b, strict=True):
-        below[x].append(y)
-        parents[y].add(x)
+        if x is not None and y in known:
+            below[x].append(y)
+            parents[y].add(x)
     region, queue = {target}, deque([target])
     while queue:
         for y in below[queue.popleft()]:
@@ -223,25 +222,32 @@ def _doomed(target: str, a: list[str], b: list[str]) -> Iterator[tuple[str, int]
 def prune_plan(frames: LineageFrames, node_id: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, level): the nodes that go when a node goes, and their level below it: itself and every
     descendant all of whose parents go.  Deleting by level, the deepest first, never leaves a child
-    behind.  A node that lies on a cycle goes with nothing (an empty plan)."""
-    known = frames.node.select(F.col("node_id").alias("node"))
-    if (every := materialize(_down(frames), "edges")).count() <= task_edges:
-        found = _in_one_task(every, lambda a, b: _doomed(node_id, a, b), "node string, level int")
-        return found.join(known, "node", "left_semi")
-    region = materialize(descendants(frames, node_id).select("node"), "region")
-    edges = materialize(frames.edge.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")).join(region.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "edges")
-    inner = edges.join(region.withColumnRenamed("node", "a"), "a", "left_semi")
-    if inner.where(F.col("b") == node_id).join(region.withColumnRenamed("node", "a"), "a", "left_semi").limit(1).count():
+    behind.
+
+    A node that doesn't exist, or lies on a cycle, goes with nothing (an empty plan).  Rows of edges
+    whose child doesn't exist don't count; a parent that doesn't exist never goes, so its children
+    stay.  Nodes on and below a cycle stay.
+    """
+    known = materialize(frames.node.select(F.col("node_id").alias("node")).distinct(), "nodes")
+    every = materialize(_down(frames), "edges")
+    if every.count() + known.count() <= task_edges:
+        return _in_one_task(every.union(known.select(F.lit(None).cast("string"), "node")), lambda a, b: _doomed(node_id, a, b), "node string, level int")
+    edges = materialize(every.join(known.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "edges")
+    target = known.where(F.col("node") == node_id)
+    region = materialize(closure(edges, target, task_edges).select("node"), "region")
+    inner = materialize(edges.join(region.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "edges")
+    within = inner.join(region.withColumnRenamed("node", "a"), "a", "left_semi")
+    if not within.where(F.col("b") == node_id).isEmpty():
         return region.select("node", F.lit(0).alias("level")).limit(0)
-    doomed = region.join(known, "node", "left_semi")
+    doomed, size = region, region.count()
     while True:
-        kept = edges.where(F.col("b") != node_id).join(doomed.withColumnRenamed("node", "a"), "a", "left_anti").select(F.col("b").alias("node")).distinct()
-        fewer = materialize(doomed.join(kept, "node", "left_anti"), "doomed")
-        if fewer.count() == doomed.count():
+        kept = inner.where(F.col("b") != node_id).join(doomed.withColumnRenamed("node", "a"), "a", "left_anti").select(F.col("b").alias("node")).distinct()
+        doomed = materialize(doomed.join(kept, "node", "left_anti"), "doomed")
+        before, size = size, doomed.count()
+        if size == before:
             break
-        doomed = fewer
-    left = edges.join(fewer.withColumnRenamed("node", "a"), "a", "left_semi").join(fewer.withColumnRenamed("node", "b"), "b", "left_semi").where(F.col("b") != node_id)
-    return levels(fewer, left, task_edges).where("settled").select("node", "level")
+    left = inner.join(doomed.withColumnRenamed("node", "a"), "a", "left_semi").join(doomed.withColumnRenamed("node", "b"), "b", "left_semi").where(F.col("b") != node_id)
+    return levels(doomed, left, task_edges).where("settled").select("node", "level")
 
 
 def edge_list(frames: LineageFrames) -> DataFrame:

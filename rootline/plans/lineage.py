@@ -239,7 +239,19 @@ def lineage_levels(f: LineageFrames) -> DataFrame:
     return graph.node_levels(f).where("settled").select("node", "level")
 
 
-@query()
+_PRUNED = """, t as (select id from hub where id in (select node_id from n)),
+k as (select parent_id as a, child_id as b from e where child_id in (select node_id from n)),
+region as (select id as node from t union select k.b from region join k on k.a = region.node),
+within as (select a, b from k where a in (select node from region) and b in (select node from region)),
+reach as (select a, b from within union select reach.a, w.b from reach join within w on w.a = reach.b),
+stay as (select node from (select b as node from k where b in (select node from region) and b <> (select id from t) and a not in (select node from region) union select a from reach where a = b)
+  union select w.b from stay join within w on w.a = stay.node),
+going as (select node from region where node not in (select node from stay)),
+walk as (select id as node, 0 as level from t where id in (select node from going) union select w.b, walk.level + 1 from walk join within w on w.a = walk.node where w.b in (select node from going))
+"""
+
+
+@query(_PRUNED + " select node, max(level)::int as level from walk group by 1")
 def prune_plan(f: LineageFrames) -> DataFrame:
     """What a deletion of the hub takes along."""
     return graph.prune_plan(f, hub(f))

@@ -1,10 +1,11 @@
+import random
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from rootline.frames import LineageFrames, clean
-from rootline.functions.encode import Entry, canonical, fingerprint, number, to_jsonable
+from rootline.functions.encode import Entry, canonical, fingerprint, number, storable
 from rootline.operators import audit, find, graph, search, views
 from rootline.schema import DDL, IntegrityError
 
@@ -105,6 +106,50 @@ def test_prune(small, limit):
     assert plan("d") == {"d", "e"}
 
 
+def pruned(nodes, edges, target):
+    """What goes with a node, by removing what has nothing left above it."""
+    below, parents = {}, {}
+    for c, p in edges:
+        if c in nodes:
+            below.setdefault(p, set()).add(c)
+            parents.setdefault(c, set()).add(p)
+    seen, work = set(), [target]
+    while work:
+        for c in below.get(work.pop(), ()):
+            if c not in seen:
+                seen.add(c)
+                work.append(c)
+    if target not in nodes or target in seen:
+        return {}
+    gone, level = {target}, {target: 0}
+    while more := {n for n in nodes - gone if parents.get(n) and parents[n] <= gone}:
+        level |= {n: 1 + max(level[p] for p in parents[n]) for n in more}
+        gone |= more
+    return level
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_prune_one_answer(spark, limit):
+    """Unknown targets, absent parents and children, loops, a hub: the same rows either way."""
+    rng = random.Random(4)
+    nodes = {f"n{i}" for i in range(12)}
+    edges = {(f"n{rng.randrange(15)}", f"n{rng.randrange(15)}") for _ in range(14)} | {(f"k{i}", "n0") for i in range(6)} | {("k5", "gone"), ("b", "a"), ("c", "b"), ("l", "k0"), ("l", "m"), ("m", "l")}
+    nodes |= {f"k{i}" for i in range(6)} | {"a", "c", "l", "m"}
+    f = frames(spark, [(i, "s", 0, 0.0, True) for i in sorted(nodes)], [(c, p, 0) for c, p in sorted(edges)])
+    for target in ("n0", "a", "gone", "b", "l", "nowhere"):
+        assert {r.node: r.level for r in graph.prune_plan(f, target, limit).collect()} == pruned(nodes, edges, target), target
+    assert pruned(nodes, edges, "a") == {"a": 0} and len(pruned(nodes, edges, "n0")) >= 5
+
+
+def test_order_puts_parents_first(spark):
+    """The order of a walk that takes the last parent's line first, and cycles."""
+    f = frames(spark, [], [("d", "b", 0), ("d", "c", 1), ("b", "a", 0), ("c", "a", 0), ("c", "x", 1), ("p", "q", 0), ("q", "p", 0), ("r", "p", 0)])
+    assert graph.lineage_order(f, "d") == ["x", "a", "c", "b", "d"]
+    assert graph.lineage_order(f, "a") == ["a"]
+    with pytest.raises(IntegrityError):
+        graph.lineage_order(f, "r")
+
+
 def test_prune_on_cycle(spark):
     f = frames(spark, [(i, "s", 0, 0, True) for i in "xyz"], [("x", "y", 0), ("y", "x", 0), ("z", "x", 0)])
     assert graph.prune_plan(f, "x").count() == 0
@@ -149,9 +194,9 @@ def test_clean(spark):
 def test_encoding():
     assert canonical({"b": 1, "a": "é"}) == '{"a":"\\u00e9","b":1}'
     assert (number(True), number(math.nan), number(3)) == (None, None, 3.0)
-    assert to_jsonable({1: (2, {3})}) == ({"1": [2, [3]]}, True)
+    assert storable({1: (2, {3})}) == {"1": [2, [3]]}
     with pytest.raises(TypeError):
-        to_jsonable(object())
+        storable(object())
     assert not Entry.make("k", {"a": 1}).searchable
     assert Entry.make("k", "https://x").data_type == "link"
     a = fingerprint("s", ["y", "x"], [Entry.make("k", 1)], {"f": "h"})
