@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import re
 import warnings
 from collections.abc import Callable
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from rootline.frames import LineageFrames
 from rootline.functions.encode import canonical, number
 from rootline.schema import STRUCTURAL
+from rootline.session import materialize
 
 ORDER = ["created_epoch_seconds", "node_id"]
 
@@ -60,11 +62,12 @@ def parents(frames: LineageFrames) -> DataFrame:
     return frames.edge.groupBy(F.col("child_id").alias("node_id")).agg(F.transform(held, lambda x: x["parent_id"]).alias("parents"))
 
 
-def find(frames: LineageFrames, **filters) -> DataFrame:
+def find(frames: LineageFrames, _errors: list[DataFrame] | None = None, **filters) -> DataFrame:
     """The nodes that pass all filters, as rows of ``node``, unordered; see ``ordered``.
 
     A filter names a column or a metadata key (or ``parent_id``); its value is a value to equal, or a
-    callable that gets the stored value.  Callables run last, on what the other filters leave.
+    callable that gets the stored value.  Callables run last, on what the other filters leave; what
+    they raise is added to ``_errors`` as a table (node_id, error, name), see ``warn_of``.
     """
     nodes, equal, calls = frames.node, {}, []
     for name, value in filters.items():
@@ -89,15 +92,15 @@ def find(frames: LineageFrames, **filters) -> DataFrame:
             hits = hits.groupBy("node_id").agg(F.countDistinct("key").alias("n")).where(F.col("n") == len(equal))
         nodes = nodes.join(hits.select("node_id"), "node_id", "left_semi")
     for name, call in calls:
-        nodes = _predicate(frames, nodes, name, call)
+        nodes = _predicate(frames, nodes, name, call, _errors)
     return nodes
 
 
-def _predicate(frames: LineageFrames, nodes: DataFrame, name: str, call: Callable) -> DataFrame:
+def _predicate(frames: LineageFrames, nodes: DataFrame, name: str, call: Callable, errors: list[DataFrame] | None = None) -> DataFrame:
     """Nodes whose stored value a Python callable accepts, evaluated in Arrow batches.
 
     A node without the key, or whose value isn't searchable, is asked with None.  Where the callable
-    raises, the node doesn't match and the session warns once with the first error.
+    raises, the node doesn't match.
     """
     if name == "parent_id":
         asked = nodes.join(parents(frames), "node_id", "left").select("node_id", F.to_json(F.coalesce("parents", F.array().cast("array<string>"))).alias("v"))
@@ -120,17 +123,17 @@ def _predicate(frames: LineageFrames, nodes: DataFrame, name: str, call: Callabl
             yield pd.DataFrame({"node_id": batch["node_id"], "hit": [h for h, _ in out], "error": [e for _, e in out]})
 
     judged = asked.mapInPandas(run, "node_id string, hit boolean, error string")
+    if errors is not None:
+        judged = materialize(judged.where("hit or error is not null"), "judged")  # asked once
+        errors.append(judged.where("error is not null").select("node_id", "error", F.lit(name).alias("name")))
     return nodes.join(judged.where("hit").select("node_id"), "node_id", "left_semi")
 
 
-def predicate_errors(frames: LineageFrames, nodes: DataFrame, name: str, call: Callable) -> None:
-    """Warn with the first error that a predicate raises on these nodes."""
-    for r in frames.metadata.where(F.col("searchable") & (F.col("key") == name)).join(nodes, "node_id", "left_semi").select("node_id", "value").toLocalIterator():
-        try:
-            call(json.loads(r.value) if r.value is not None else None)
-        except Exception as e:  # noqa: BLE001
-            warnings.warn(f"the predicate for {name!r} failed on node {r.node_id}: {e!r}", UserWarning, stacklevel=2)
-            return
+def warn_of(errors: list[DataFrame]) -> None:
+    """Warn once for each predicate that raised, with the error on the node of the least id."""
+    for table in errors:
+        if (r := table.orderBy("node_id").first()) is not None:
+            warnings.warn(f"the predicate for {r['name']!r} failed on node {r.node_id}: {r.error}", UserWarning, stacklevel=3)
 
 
 def ordered(nodes: DataFrame) -> DataFrame:
@@ -143,16 +146,25 @@ def latest(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy(*[F.desc_nulls_last(c) for c in ORDER]).limit(1)
 
 
+def _name_pattern(name: str) -> str:
+    pattern = name if any(c in name for c in "*?[") else f"*{name}*"
+    regex = "/".join(fnmatch.translate(p)[len("(?s:") : -len(")\\Z")] for p in pattern.strip("/").split("/"))
+    regex = regex.replace(".*", "[^/]*").replace("(?>[^/]*", "(?:[^/]*")
+    return f"(^|/){regex}$"
+
+
 def name_matches(name: str) -> Column:
     """Whether ``relpath`` answers a name: a pattern with wildcards matches from the right, path part
     by path part; a plain text anywhere in the file name; in either case the text may also be part
     of the file name in any case."""
     base = F.lower(F.element_at(F.split("relpath", "/"), -1))
-    part = F.contains(base, F.lit(name.lower()))
-    pattern = name if any(c in name for c in "*?[") else f"*{name}*"
-    regex = "/".join(fnmatch.translate(p)[len("(?s:") : -len(")\\Z")] for p in pattern.strip("/").split("/"))
-    regex = regex.replace(".*", "[^/]*").replace("(?>[^/]*", "(?:[^/]*")
-    return part | F.col("relpath").rlike(f"(^|/){regex}$")
+    return F.contains(base, F.lit(name.lower())) | F.col("relpath").rlike(_name_pattern(name))
+
+
+def name_matcher(name: str) -> Callable[[str], bool]:
+    """``name_matches`` for single paths."""
+    regex, part = re.compile(_name_pattern(name)), name.lower()
+    return lambda relpath: part in relpath.rsplit("/", 1)[-1].lower() or regex.search(relpath) is not None
 
 
 def artifacts(frames: LineageFrames, name: str = "*", nodes: DataFrame | None = None) -> DataFrame:

@@ -109,6 +109,24 @@ def related(frames: LineageFrames, node_id: str) -> DataFrame:
     return ancestors(frames, node_id).select("node").union(descendants(frames, node_id).select("node")).distinct()
 
 
+def parents_first(parents: dict[str, list[str]], node_id: str) -> list[str]:
+    """A node and all above it, each after all its parents, the last parent's line first; a cycle
+    raises ``IntegrityError``."""
+    placed: dict[str, None] = {}  # in order
+    trail: dict[str, Iterator[str]] = {node_id: reversed(parents.get(node_id, []))}  # from the node upwards, with the parents still to see
+    while trail:
+        at = next(reversed(trail))
+        above_at = next((p for p in trail[at] if p not in placed), None)
+        if above_at is None:
+            trail.pop(at)
+            placed[at] = None
+        elif above_at in trail:
+            raise IntegrityError(f"a cycle leads through {above_at}")
+        else:
+            trail[above_at] = reversed(parents.get(above_at, []))
+    return list(placed)
+
+
 def lineage_order(frames: LineageFrames, node_id: str, most: int = TASK_EDGES) -> list[str]:
     """A node and all above it, each after all its parents, the last parent's line first.
 
@@ -122,19 +140,7 @@ def lineage_order(frames: LineageFrames, node_id: str, most: int = TASK_EDGES) -
     parents = defaultdict(list)
     for r in rows:
         parents[r.child_id].append(r.parent_id)
-    placed: dict[str, None] = {}  # in order
-    trail: dict[str, Iterator[str]] = {node_id: reversed(parents[node_id])}  # from the node upwards, with the parents still to see
-    while trail:
-        at = next(reversed(trail))
-        above_at = next((p for p in trail[at] if p not in placed), None)
-        if above_at is None:
-            trail.pop(at)
-            placed[at] = None
-        elif above_at in trail:
-            raise IntegrityError(f"a cycle leads through {above_at}")
-        else:
-            trail[above_at] = reversed(parents[above_at])
-    return list(placed)
+    return parents_first(parents, node_id)
 
 
 def levels(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:

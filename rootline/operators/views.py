@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,9 +81,9 @@ def status_counts(frames: LineageFrames) -> DataFrame:
     return frames.node.agg(F.count("*").alias("runs"), F.count_if(~F.col("healthy")).alias("failed"), F.count_if("prov_git_dirty").alias("dirty"))
 
 
-def timeline(frames: LineageFrames) -> DataFrame:
-    """(day, ok, failed) of each UTC day with runs."""
-    day = F.to_date(F.timestamp_seconds("created_epoch_seconds"))
+def timeline(frames: LineageFrames, zone: str = "UTC") -> DataFrame:
+    """(day, ok, failed) of each day of a zone with runs."""
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("created_epoch_seconds"), zone))
     return frames.node.where("created_epoch_seconds is not null").groupBy(day.alias("day")).agg(F.count_if("healthy").alias("ok"), F.count_if(~F.col("healthy")).alias("failed"))
 
 
@@ -104,17 +104,31 @@ def focus(frames: LineageFrames, day: str | None = None, healthy: bool | None =
     return nodes if found is None else nodes.join(found.select("node_id"), "node_id", "left_semi")
 
 
-def diff(frames: LineageFrames, a: str, b: str) -> DataFrame:
-    """(key, a, b, same, delta): two nodes compared metadata key by key, as text; the difference of
-    numbers, rounded to 6 places."""
+#: What a comparison of two nodes shows beside their metadata, in this order.
+COMPARED = ("step_type", "generation", "healthy", "duration_seconds", "size_bytes", "created_display")
+
+
+def display_time(seconds: Column, zone: str = "UTC") -> Column:
+    """A time since the epoch as a reader in a zone sees it."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone), "yyyy-MM-dd HH:mm:ss")
+
+
+def diff(frames: LineageFrames, a: str, b: str, zone: str = "UTC") -> DataFrame:
+    """(section, key, a, b, same, delta): two nodes compared, as text: what they are (section
+    ``node``) and their metadata key by key; the difference of numbers, rounded to 6 places."""
 
     def side(node_id: str, name: str) -> DataFrame:
         number = F.when(~F.coalesce(F.col("value").isin(*BOOLEANS), F.lit(False)), F.col("num_value"))
-        return frames.metadata.where(F.col("node_id") == node_id).select("key", F.col("value").alias(name), number.alias(f"_{name}"))
-
-    both = side(a, "a").join(side(b, "b"), "key", "full_outer")
+        held = frames.metadata.where(F.col("node_id") == node_id).select(F.lit("metadata").alias("section"), "key", F.col("value").alias(name), number.alias(f"_{name}"))
+        shown = {c: F.col(c) for c in COMPARED[:-1]} | {"created_display": display_time(F.col("created_epoch_seconds"), zone)}
+        numeric = ("generation", "duration_seconds", "size_bytes")
+        pairs = [F.struct(F.lit(c).alias("key"), v.cast("string").alias("value"), (v if c in numeric else F.lit(None)).cast("double").alias("number")) for c, v in shown.items()]
+        own = frames.node.where(F.col("node_id") == node_id).select(F.explode(F.array(*pairs)).alias("x")).select(F.lit("node").alias("section"), "x.key", F.col("x.value").alias(name), F.col("x.number").alias(f"_{name}"))
+        return own.unionByName(held)
+
+    both = side(a, "a").join(side(b, "b"), ["section", "key"], "full_outer")
     same = F.coalesce(F.col("_a") == F.col("_b"), F.col("a").eqNullSafe(F.col("b")))
-    return both.select("key", "a", "b", same.alias("same"), F.round(F.col("_b") - F.col("_a"), 6).alias("delta"))
+    return both.select("section", "key", "a", "b", same.alias("same"), F.round(F.col("_b") - F.col("_a"), 6).alias("delta"))
 
 
 def entries(frames: LineageFrames) -> DataFrame:

@@ -368,9 +368,14 @@ def step_types(f: LineageFrames) -> DataFrame:
     return views.step_types(f)
 
 
-@query(_TIP + """, x as (select key, value, case when coalesce(value, '') not in ('true', 'false') then num_value end as v from m where node_id = (select id from tip)),
-y as (select key, value, case when coalesce(value, '') not in ('true', 'false') then num_value end as v from m where node_id = (select id from hub))
-select coalesce(x.key, y.key) as key, x.value as a, y.value as b, coalesce(x.v = y.v, x.value is not distinct from y.value) as same, round(y.v - x.v, 6) as delta from x full join y on x.key = y.key""")
+def _side(of: str) -> str:
+    shown = [("step_type", "step_type", "null"), ("generation", "generation", "generation"), ("healthy", "healthy", "null"), ("duration_seconds", "duration_seconds", "duration_seconds"), ("size_bytes", "size_bytes", "size_bytes"), ("created_display", "strftime(make_timestamp((created_epoch_seconds * 1000000)::bigint), '%Y-%m-%d %H:%M:%S')", "null")]
+    own = " union all ".join(f"select 'node' as section, '{k}' as key, ({v})::varchar as value, ({n})::double as v from n where node_id = (select id from {of})" for k, v, n in shown)
+    return f"{own} union all select 'metadata', key, value, case when coalesce(value, '') not in ('true', 'false') then num_value end from m where node_id = (select id from {of})"
+
+
+@query(_TIP + f""", x as ({_side("tip")}), y as ({_side("hub")})
+select coalesce(x.section, y.section) as section, coalesce(x.key, y.key) as key, x.value as a, y.value as b, coalesce(x.v = y.v, x.value is not distinct from y.value) as same, round(y.v - x.v, 6) as delta from x full join y on x.key = y.key and x.section = y.section""")
 def node_diff(f: LineageFrames) -> DataFrame:
     """Two nodes compared."""
     return views.diff(f, _tip(f), hub(f))

@@ -1,5 +1,5 @@
-import random
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
