@@ -92,7 +92,35 @@ v as (select node_id, attr, case
     when t = 'string' and kind = 'string' then text end as val from x)
 select node_id, attr from v group by 1, 2 having count(distinct val) <> 1"""
 
+_FIRST = BASE + """, f as (select child_id as node, (array_agg(parent_id order by coalesce(ordinal, 2147483647), parent_id))[1] as parent from e group by 1),
+known as (select node_id as node from n union select child_id from e union select parent_id from e),
+walk as (select node, node as root, 0 as depth, node as path from known where node not in (select node from f)
+  union all select f.node, walk.root, walk.depth + 1, walk.path || '/' || f.node from walk join f on f.parent = walk.node)
+select node as node_id, root, depth, path, false as looped from walk union all select node, null, null, null, true from f where node not in (select node from walk)"""
+
+_BELOW = BASE + """, down(node, descendant, distance) using key (node, descendant) as (
+  select parent_id, child_id, 1 from e where child_id <> parent_id
+  union select d.node, e.child_id, d.distance + 1 from down d join e on e.parent_id = d.descendant left join recurring.down r on r.node = d.node and r.descendant = e.child_id
+  where e.child_id <> d.node and r.node is null)
+select node as node_id, descendant as descendant_id, distance from down"""
+
+_ELEMENTS = BASE + """, texts as (select distinct {node} as node_id, {key} as key, value from metadata where regexp_matches(value, '^\\s*["\\[{{]')),
+plain as (select node_id, key, case when json_valid(value) then value else regexp_replace(value, '\\bNaN\\b', 'null', 'g') end as v from texts),
+outer_ as (select node_id, key, case when json_type(v) = 'VARCHAR' then json_extract_string(v, '$') else v end as v from plain where json_valid(v)),
+valid as (select node_id, key, case when json_valid(v) then v else regexp_replace(v, '\\bNaN\\b', 'null', 'g') end as v from outer_),
+walk as (
+  select node_id, key, '$' as path, '$' as owner, null::varchar as found, v::json as j from valid where json_valid(v) and json_type(v) in ('OBJECT', 'ARRAY')
+  union all
+  select node_id, key, path || x.step, case when x.element and json_type(x.value) = 'OBJECT' then path || x.step else owner end, case when x.element and json_type(x.value) = 'OBJECT' then owner end, x.value
+  from (select *, unnest(case json_type(j)
+      when 'OBJECT' then list_transform(map_entries(j::map(varchar, json)), lambda m: {{'step': '.' || m.key, 'value': m.value, 'element': false}})
+      else list_transform(range(json_array_length(j)::bigint), lambda i: {{'step': '[' || i || ']', 'value': j->i, 'element': true}}) end) as x from walk where json_type(j) in ('OBJECT', 'ARRAY')))
+select distinct node_id, key, path, found as parent_path from walk where found is not null""".format(node=LABEL("node_id"), key=LABEL("key"))
+
 ORACLES = {
+    "p2_paths": _FIRST,
+    "p2_descendants": _BELOW,
+    "p4_found": _ELEMENTS,
     "p1_found": _SETTLED,
     "p2_found": BASE + ", above as (select child_id as node, parent_id as top from e union select above.node, e.parent_id from above join e on e.child_id = above.top) select distinct node as node_id from above where node = top",
 }
