@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from oracle import DATA
@@ -98,6 +99,32 @@ def test_proximity(spark):
     assert leakage.proximity(docs, items.limit(0)).count() == 0
 
 
+def test_one_index_for_all_test_sets(spark):
+    """The index is made before any item is known; small shards, blocks and pieces change nothing."""
+    rng = np.random.default_rng(3)
+    words = ["w%d" % i for i in range(30)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(12)]
+    docs = [(f"{t}\n\n{' '.join(reversed(t.split()))}", "md", []) for t in texts] + [(" ".join(["w1"] * 50), "md", [])]
+    items = [(i, " ".join(t.split()[k : k + 25])) for i, (t, k) in enumerate((t, k) for t in texts[:4] for k in (0, 17, 35))] + [(99, "w1 " * 13)]
+    table_of = spark.createDataFrame([(i, t, f, None) for i, (t, f, _) in enumerate(docs)], SCHEMA)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    expected = set()
+    for i, text in items:
+        w = text.split()
+        grams = {tuple(w[k : k + 6]) for k in range(len(w) - 5)}
+        for d, (t, _, _) in enumerate(docs):
+            for cell in t.split("\n\n"):
+                c = cell.split()
+                expected |= {(i, d) for k in range(len(c) - 5) if tuple(c[k : k + 6]) in grams}
+    for shard_words in (1, 200, 10**6):
+        index = leakage.build(table_of, shard_words)
+        for block in (10, 10**6):
+            assert {(r.item_id, r.doc_id) for r in leakage.matches_in(index, asked, 6, block).collect()} == expected
+    longest = {(r.item_id, r.doc_id): r.words for r in leakage.matches_in(index, asked, 6).orderBy("words").collect()}
+    assert longest[0, 0] == 25 and longest[99, 12] == 13
+    assert leakage.proximity_in(index, asked, 6, 6, 0).select("item_id", "doc_id").count() == len(expected)
+
+
 def test_empty(spark):
     assert leaked(spark, [], [(1, P)]) == set()
     assert leaked(spark, [(P, "md", [])], []) == set()
