@@ -1,6 +1,7 @@
 """A mixture of sources that meets target weights, each record repeated at most a capped number of times.
 
-Budgets run down a tree of weights, such as domain, language, source.  A node hands its budget to its
+Budgets run down a tree of weights: domain, language, source (``plan``; ``Budget`` takes any depth).  A
+node hands its budget to its
 children in proportion to their weights; a child that can't use its part, because its records times
 their allowed uses are fewer, takes what it can, and the rest goes to its siblings in proportion
 again, before any of it returns to the level above.  Each leaf then fills its budget with whole
@@ -42,6 +43,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Leaves of the tree of weights, which is kept on the driver.
 MAX_LEAVES = 100_000
 
+#: Share of a budget that rounding may cost.
+ROUNDING = 1e-9
+
 #: Ranges that the order of a leaf is cut into to find its prefix.
 RANGES = 4096
 
@@ -120,12 +124,14 @@ class Budget:
     granted: float = 0.0
     children: dict[str, Budget] = field(default_factory=dict)
 
-    def add(self, path: tuple[str, ...], weights: tuple[float, ...], capacity: float) -> None:
-        """Add a leaf below this node; weights are those of the nodes of its path."""
-        self.capacity += capacity
-        if path:
-            child = self.children.setdefault(path[0], Budget(weights[0]))
-            child.add(path[1:], weights[1:], capacity)
+    def add(self, path: tuple[str, ...], weight: float, capacity: float) -> None:
+        """Add a leaf below this node; a node weighs what its leaves weigh."""
+        node = self
+        for step in (*path, None):
+            node.weight += weight
+            node.capacity += capacity
+            if step is not None:
+                node = node.children.setdefault(step, Budget())
 
     def grant(self, amount: float) -> None:
         """Spread an amount over the subtree: by weight, each child up to its capacity, shortages to
@@ -172,12 +178,15 @@ def _order(seed: int, epoch: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), epoch, F.col("doc_id")), F.lit(2**32))
 
 
-def plan(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None) -> tuple[Budget, DataFrame]:
-    """The tree of budgets, and its leaves as rows: source, lang, tokens, target_share, capacity,
-    wanted, granted.
+def plan(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, domains: dict[str, str] | None = None) -> tuple[Budget, DataFrame]:
+    """The tree of budgets, and its leaves as rows: domain, lang, source, tokens, target_share,
+    capacity, wanted, granted.
 
-    ``sized`` has (source, lang, tokens) per record, sources clean.  The tree is source, then
-    language; the languages of a source weigh what they hold.  The total is that of all records.
+    ``sized`` has (source, lang, tokens) per record, sources clean.  The tree is domain, language,
+    source; ``domains`` names the domain of a source, the others are in one of their own.  A source
+    weighs its share, spread over its languages by what they hold; so what a source can't give goes to
+    those of its language and domain first, then within the domain, then to all.  The total is that
+    of all records.
     """
     spark = sized.sparkSession
     held: dict[str, dict[str, int]] = {s: {} for s in targets}
@@ -187,15 +196,19 @@ def plan(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float |
     for r in sorted(rows, key=lambda r: (r.source, r.lang)):
         held[r.source][r.lang] = r.tokens
     everything = sum(sum(v.values()) for v in held.values())
-    root = Budget(1.0)
+    asked = float(everything if total is None else total)
+    root, leaves = Budget(), []
     for source, (share, uses) in targets.items():
+        own = sum(held[source].values())
         for lang, tokens in (held[source] or {"": 0}).items():
-            root.add((source, lang), (share, float(tokens)), float(tokens * uses))
-    root.grant(everything if total is None else total)
-    asked = everything if total is None else total
-    out = [(s, lang, held[s].get(lang, 0), targets[s][0], leaf.capacity, asked * targets[s][0] * (held[s].get(lang, 0) / (sum(held[s].values()) or 1) if held[s] else 1.0), leaf.granted) for (s, lang), leaf in root.leaves()]
-    leaves = spark.createDataFrame(out, "source string, lang string, tokens long, target_share double, capacity double, wanted double, granted double")
-    return root, leaves
+            path = ((domains or {}).get(source, ""), lang, source)
+            weight = share * (tokens / own if own else 1.0 / max(1, len(held[source])))
+            root.add(path, weight, float(tokens * uses))
+            leaves.append((path, tokens, share, float(tokens * uses), asked * weight))
+    root.grant(asked)
+    granted = {path: leaf.granted for path, leaf in root.leaves()}
+    out = [(*path, tokens, share, capacity, wanted, granted[path]) for path, tokens, share, capacity, wanted in leaves]
+    return root, spark.createDataFrame(out, "domain string, lang string, source string, tokens long, target_share double, capacity double, wanted double, granted double")
 
 
 def sized_records(documents: DataFrame, targets: dict[str, tuple[float, int]], tokenizer: str = TOKENIZER) -> DataFrame:
@@ -223,10 +236,10 @@ def choose(sized: DataFrame, leaves: DataFrame, seed: int = 0) -> DataFrame:
 
 def report(leaves: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """(source, target_share, tokens, capacity, wanted, granted, short[, used, actual_share]) of each
-    source; ``short`` sources can't fill their share with all their records used as often as they
-    may be."""
+    source; a ``short`` source was granted less than its share: it gives all it may, since whoever
+    has more gets at least the share."""
     out = leaves.groupBy("source").agg(F.first("target_share").alias("target_share"), F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"), F.sum("wanted").alias("wanted"), F.sum("granted").alias("granted"))
-    out = out.withColumn("short", F.col("capacity") < F.col("wanted"))
+    out = out.withColumn("short", F.col("granted") < F.col("wanted") * (1 - ROUNDING))
     if chosen is None:
         return out
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"))

@@ -30,6 +30,9 @@ from rootline.session import materialize
 #: Section size: the relative error of the rank from above is about 1 / SECTION.
 SECTION = 64
 
+#: Sketches that a task holds before it passes them on (some KB each).
+TASK_SKETCHES = 5_000
+
 #: Sketches that one task merges at once.
 FAN_IN = 64
 
@@ -127,6 +130,9 @@ def sketch(values: DataFrame, groups: list[str], value: str, section: int = SECT
             for key, part in batch.groupby(groups, dropna=False, sort=False)["_value"]:
                 key = tuple(None if pd.isna(k) else k for k in key)
                 found.setdefault(key, RelativeSketch(section)).update(part.to_numpy(dtype=float))
+            if len(found) > TASK_SKETCHES:
+                yield _rows(groups, found)
+                found = {}
         if found:
             yield _rows(groups, found)
 

@@ -50,15 +50,19 @@ def p6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+#: Domains of the tree of weights, by source (a parameter of the mixture).
+DOMAINS = {"code_forge": "code", "contest_hub": "code", "course_site": "teaching", "wiki_books": "teaching", "paper_repo": "research", "lab_share": "research", "field_archive": "research", "gov_portal": "public"}
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
     targets = mixing.read_targets(table(spark, sf_dir, "mix_targets"))
     sized = mixing.sized_records(table(spark, sf_dir, "documents"), targets)
-    return sized, mixing.plan(sized, targets)[1]
+    return sized, mixing.plan(sized, targets, domains=DOMAINS)[1]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that can't fill their share even with every record used as often as allowed."""
+    """Sources that were granted less than their share: every record used as often as allowed."""
     return mixing.report(_mixture(spark, sf_dir)[1]).where("short").select("source")
 
 

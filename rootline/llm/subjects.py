@@ -7,8 +7,10 @@
    Lloyd steps.  All notebooks take part in every step; only sums of leaves reach the driver.
 3. A leaf is named after the subject whose hand labels and description terms it attracts beyond
    chance; its discriminative terms thereby speak for that subject.
-4. Cells are mixtures of the leaves that their terms speak for.  Rounds of reassignment over all cells
-   sharpen what each term says; a notebook gets the subjects of its cells.
+4. Every cell is a mixture of the named leaves, by what its terms say of each; the parts of the leaves
+   of one subject add up.  Rounds of reassigning all cells to leaves sharpen the terms of each leaf,
+   as a leaf of whole notebooks still holds cells about other things; a notebook gets the subjects
+   that lead the mixtures of its cells.
 
 A notebook has a subject when at least two of its text cells are about it, or, where no text cell is
 about any other subject, when most of its code cells take their names from it.
@@ -52,6 +54,9 @@ MAX_TERMS = 300_000
 
 DIMENSIONS, LEAVES, LEVELS = 128, 48, 6
 
+#: Sums of one key that one task folds.
+FOLD_TASKS = 64
+
 #: Rounds of reassigning cells, and the weight of a notebook's code in all but the last.
 ROUNDS, CONTEXT = 4, 2.0
 
@@ -227,7 +232,10 @@ def _gather(table: DataFrame, columns: list[str], work) -> dict[int, np.ndarray]
         if sums:
             yield pd.DataFrame({"key": list(sums), "total": [v.tobytes() for v in sums.values()]})
 
-    out = table.select(*columns).mapInArrow(partial, "key int, total binary").repartition("key").mapInPandas(fold, "key int, total binary")
+    out = table.select(*columns).mapInArrow(partial, "key int, total binary")
+    if table._jdf.rdd().getNumPartitions() > FOLD_TASKS:  # many tasks of one key meet in pieces first
+        out = out.withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(FOLD_TASKS))).repartition("key", "piece").drop("piece").mapInPandas(fold, "key int, total binary")
+    out = out.repartition("key").mapInPandas(fold, "key int, total binary")
     return {r.key: np.frombuffer(r.total) for r in out.collect()}
 
 
@@ -348,33 +356,51 @@ def name_leaves(leaves: dict[int, np.ndarray], votes: dict[int, np.ndarray], voc
     return names
 
 
-def speaking(leaves: dict[int, np.ndarray], names: dict[int, str], subjects: list[str]) -> np.ndarray:
-    """What each term says at first: the shares of the named leaves among its notebooks, against
-    their share of all; a matrix of terms and subjects."""
+def _by_subject(owner: np.ndarray, n: int) -> np.ndarray:
+    """A matrix that adds up the leaves of each subject."""
+    return (owner[:, None] == np.arange(n)).astype(np.float32)
+
+
+def speaking(leaves: dict[int, np.ndarray], names: dict[int, str], subjects: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What each term says of each named leaf at first, and the subject number of each such leaf.
+
+    A term speaks for the subject whose leaves hold it more often than all others do, split among
+    those leaves by how often each holds it.
+    """
     total = sum(leaves.values())
+    named = sorted(names)
+    owner = np.array([subjects.index(names[x]) for x in named], dtype=int)
     out = np.zeros((len(total) - 1, len(subjects)))
-    for i, s in enumerate(subjects):
-        own = sum((leaves[x] for x, n in names.items() if n == s), np.zeros(len(total)))
+    for i in sorted(set(owner.tolist())):
+        own = sum(leaves[x] for x, o in zip(named, owner, strict=True) if o == i)
         rate_in, rate_out = (own[1:] + 0.1) / (own[0] + 1.0), (total[1:] - own[1:] + 0.1) / (total[0] - own[0] + 1.0)
-        out[:, i] = np.where(own[0] > 0, rate_in / (rate_in + rate_out), 0.0)
+        out[:, i] = rate_in / (rate_in + rate_out)
     # a term speaks for the subject that claims most of it
     odds = np.where(out > 0.5, out / (1.0001 - out), 0.0) ** 2
-    return odds / np.maximum(odds.sum(axis=1, keepdims=True), 1e-9) * (out.max(axis=1, keepdims=True) > 0.6)
+    says = odds / np.maximum(odds.sum(axis=1, keepdims=True), 1e-9) * (out.max(axis=1, keepdims=True, initial=0) > 0.6)
+    counts = np.stack([leaves[x][1:] / (leaves[x][0] + 1.0) for x in named], axis=1) if named else np.zeros((len(total) - 1, 0))
+    return _split_among_leaves(says, counts, owner), owner
+
+
+def _split_among_leaves(says: np.ndarray, counts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """What terms say of subjects, split among the leaves of each by counts, evenly without any."""
+    sums = counts @ _by_subject(owner, says.shape[1])
+    alone = np.bincount(owner, minlength=says.shape[1])
+    share = np.where(sums[:, owner] > 0, counts / np.maximum(sums[:, owner], 1e-12), 1.0 / np.maximum(alone[owner], 1))
+    return says[:, owner] * share
 
 
-def cell_mixtures(terms: np.ndarray, ends: np.ndarray, says: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell (given by the ends of its terms) the mass of each subject, and its number of
-    speaking terms."""
-    mass = np.zeros((len(ends), says.shape[1] + 1))
-    if len(terms):
-        own = np.searchsorted(ends, np.arange(len(terms)), side="right")
-        rows = says[terms]
-        np.add.at(mass[:, :-1], own, rows)
-        np.add.at(mass[:, -1], own, rows.sum(axis=1) > 0.5)
-    return mass[:, :-1], mass[:, -1]
+def cell_mixtures(terms: np.ndarray, ends: np.ndarray, says: np.ndarray) -> np.ndarray:
+    """For each cell (given by the ends of its terms) the mass of each leaf."""
+    mass = np.zeros((len(ends), says.shape[1]), dtype=np.float64)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    held = np.flatnonzero(ends > starts)
+    if len(held):
+        mass[held] = np.add.reduceat(says[terms], starts[held], axis=0, dtype=np.float64)
+    return mass
 
 
-def decide(mass: np.ndarray, speaking_terms: np.ndarray, text: np.ndarray) -> np.ndarray:
+def decide(mass: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The subject of each cell, -1 for none: the one with most of the mass, from two terms on in
     text and one in code."""
     best = mass.argmax(axis=1) if mass.shape[1] else np.zeros(len(mass), dtype=int)
@@ -394,50 +420,57 @@ def _cells(batch: pa.RecordBatch, kinds: int, ends: int, terms: int) -> tuple[np
     return all_ends, batch.column(terms).flatten().to_numpy(zero_copy_only=False), text, row
 
 
-def sharpen(points: DataFrame, says: np.ndarray, context: float) -> np.ndarray:
-    """One round of reassignment: what each term says, by the subjects of all cells it occurs in.
+def sharpen(points: DataFrame, says: np.ndarray, owner: np.ndarray, n: int, context: float) -> np.ndarray:
+    """One round of reassigning cells to leaves: what each term says of the leaves (whose subjects,
+    ``n`` in all, ``owner`` tells), by the cells it occurs in.
 
     ``context`` is the weight that the names in a notebook's code have for its text cells.  They are
     written alike whatever the language of the text, so they carry subjects over to languages whose
     leaves are mixed.
     """
     shared = points.sparkSession.sparkContext.broadcast(says.astype(np.float32))
-    size, n = says.shape
+    size, m = says.shape
 
     def work(batch: pa.RecordBatch, sums: dict[int, np.ndarray]) -> None:
         ends, terms, text, row = _cells(batch, 0, 1, 2)
-        if not len(terms):
+        if not len(terms) or not m:
             return
-        mass, speak = cell_mixtures(terms, ends, shared.value)
+        mass = cell_mixtures(terms, ends, shared.value)
         if context:
-            around = np.zeros((batch.num_rows, n))
+            around = np.zeros((batch.num_rows, m))
             np.add.at(around, row[~text], mass[~text])
             mass[text] += context * around[row[text]]
-        about = decide(mass, speak, text)
-        own = np.searchsorted(ends, np.arange(len(terms)), side="right")
-        found = np.bincount(terms.astype(np.int64) * (n + 1) + np.where(about[own] < 0, n, about[own]), minlength=size * (n + 1)).astype(float)
+        about = decide(mass @ _by_subject(owner, n), text)
+        # the leaf of that subject that has most of the cell
+        leaf = np.where(owner == about[:, None], mass, -1.0).argmax(axis=1)
+        to = np.where(about < 0, m, leaf)
+        own = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+        found = np.bincount(terms.astype(np.int64) * (m + 1) + to[own], minlength=size * (m + 1)).astype(float)
         sums[0] = sums[0] + found if 0 in sums else found
 
     found = _gather(points, ["kinds", "ends", "terms"], work)
     if 0 not in found:
         return says
-    counts = found[0].reshape(size, n + 1)
-    cells = counts[:, :n].sum(axis=0) + 1.0
-    rate = counts[:, :n] / cells
+    by_leaf = found[0].reshape(size, m + 1)
+    counts = by_leaf[:, :m] @ _by_subject(owner, n)
+    rate = counts / (counts.sum(axis=0) + 1.0)
     share = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
-    settled = counts[:, :n].sum(axis=1, keepdims=True) / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
-    return np.where((share > 0.15) & (settled > 0.1), share**2 / np.maximum((share**2).sum(axis=1, keepdims=True), 1e-12), 0.0) * (share.max(axis=1, keepdims=True) > 0.45)
+    settled = counts.sum(axis=1, keepdims=True) / np.maximum(by_leaf.sum(axis=1, keepdims=True), 1.0)
+    said = np.where((share > 0.15) & (settled > 0.1), share**2 / np.maximum((share**2).sum(axis=1, keepdims=True), 1e-12), 0.0) * (share.max(axis=1, keepdims=True, initial=0) > 0.45)
+    return _split_among_leaves(said, by_leaf[:, :m], owner)
 
 
 @dataclass
 class Model:
-    """What clustering found: the subjects, the terms and what each says."""
+    """What clustering found: the subjects, the terms, what each says of the named leaves, and the
+    subject number of each of those."""
 
     subjects: list[str]
     vocabulary: Vocabulary
     tree: Tree
     names: dict[int, str]
     says: np.ndarray
+    owner: np.ndarray
 
 
 def fit(points: DataFrame, vocab: Vocabulary, descriptions: dict[str, str], labels: DataFrame | None, rounds: int = ROUNDS) -> Model:
@@ -446,25 +479,25 @@ def fit(points: DataFrame, vocab: Vocabulary, descriptions: dict[str, str], labe
     tree = bisect(points)
     leaves, votes = profile(points, tree, vocab, read_labels(labels, subjects), subjects)
     names = name_leaves(leaves, votes, vocab, descriptions)
-    says = speaking(leaves, names, subjects)
+    says, owner = speaking(leaves, names, subjects)
     for r in range(rounds):
-        says = sharpen(points, says, CONTEXT if r < rounds - 1 else 0.0)
-    if silent := [s for s, said in zip(subjects, says.any(axis=0), strict=True) if not said]:
+        says = sharpen(points, says, owner, len(subjects), CONTEXT if r < rounds - 1 else 0.0)
+    if silent := [s for i, s in enumerate(subjects) if not says[:, owner == i].any()]:
         warnings.warn(f"no terms speak for {len(silent)} of {len(subjects)} subjects, so no notebook gets them: {', '.join(silent[:20])}", stacklevel=3)
-    return Model(subjects, vocab, tree, names, says)
+    return Model(subjects, vocab, tree, names, says, owner)
 
 
 def assign(points: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, subject, text_cells, code_cells): the subjects of each notebook."""
+    """(doc_id, subject, text_cells, code_cells): the subjects of each notebook, by the leaf mixtures
+    of its cells."""
     shared = points.sparkSession.sparkContext.broadcast(model.says.astype(np.float32))
-    subjects = model.subjects
+    subjects, owner = model.subjects, model.owner
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends, terms, text, row = _cells(batch, 1, 2, 3)
-            mass, speak = cell_mixtures(terms, ends, shared.value)
-            about = decide(mass, speak, text)
             n = len(subjects)
+            about = decide(cell_mixtures(terms, ends, shared.value) @ _by_subject(owner, n), text)
             of_text = np.zeros((batch.num_rows, n), dtype=np.int32)
             of_code = np.zeros((batch.num_rows, n), dtype=np.int32)
             for table, own in ((of_text, text), (of_code, ~text)):

@@ -3,8 +3,10 @@
 A histogram of the scores of each group, over buckets that keep the order of doubles, gives a
 threshold with at least N items at or above it.  Rows below are filtered, and only the survivors are
 ranked exactly, by score descending and then by the tie key.  Counting is combined before it is
-shuffled, and ranking keeps at most N rows of a group per task before it shuffles (Spark's window
-group limit), so neither a hot group nor a score that a whole group shares gathers in one task.
+shuffled, and ranking keeps at most N rows of a group per task before it shuffles, so neither a hot
+group nor a score that a whole group shares gathers in one task.  Up to the threshold of Spark's window
+group limit that is Spark's own doing; for a larger N the survivors of a group are first ranked in
+``SALTS`` parts, each of which keeps N.
 
 Defined results: null and NaN scores and null groups or items take no part; an item counts once per
 group, with its largest score; -0.0 equals 0.0; infinities are scores; ties are ordered by item
@@ -73,6 +75,9 @@ def top_n(scored: DataFrame, groups: list[str], item: str, score: str, n: int) -
     best = known.groupBy(*groups, item).agg(F.max(score).alias(score))
     best = materialize(best.withColumn("bucket", bucket(F.col(score))), "scored")
     kept = _above(best, materialize(thresholds(best, groups, n), "thresholds"), groups, item)
+    if n > int(scored.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = Window.partitionBy(*groups, "_part").orderBy(F.desc(score), F.asc(item))
+        kept = kept.withColumn("_part", F.pmod(F.hash(item), F.lit(SALTS))).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n).drop("_part", "_rank")
     order = Window.partitionBy(*groups).orderBy(F.desc(score), F.asc(item))
     return kept.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n).select(*groups, "rank_no", item, score)
 

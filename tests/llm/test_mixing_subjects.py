@@ -23,20 +23,20 @@ def test_counts_equal_the_tokenizer():
 
 
 def grant(leaves, amount):
-    root = mixing.Budget(1.0)
-    for path, weights, capacity in leaves:
-        root.add(path, weights, capacity)
+    root = mixing.Budget()
+    for path, weight, capacity in leaves:
+        root.add(path, weight, capacity)
     root.grant(amount)
     return {p: round(leaf.granted, 6) for p, leaf in root.leaves()}
 
 
 def test_shortages_go_to_siblings_first():
-    leaves = [(("d1", "a"), (0.5, 0.5), 10.0), (("d1", "b"), (0.5, 0.5), 1000.0), (("d2", "c"), (0.5, 1.0), 1000.0)]
+    leaves = [(("d1", "a"), 0.25, 10.0), (("d1", "b"), 0.25, 1000.0), (("d2", "c"), 0.5, 1000.0)]
     assert grant(leaves, 100) == {("d1", "a"): 10, ("d1", "b"): 40, ("d2", "c"): 50}
-    leaves[1] = (("d1", "b"), (0.5, 0.5), 20.0)
+    leaves[1] = (("d1", "b"), 0.25, 20.0)
     assert grant(leaves, 100) == {("d1", "a"): 10, ("d1", "b"): 20, ("d2", "c"): 70}
     assert sum(grant(leaves, 1e9).values()) == 1030
-    assert grant([(("x",), (0.0,), 5.0), (("y",), (1.0,), 5.0)], 8) == {("x",): 0, ("y",): 5}
+    assert grant([(("x",), 0.0, 5.0), (("y",), 1.0, 5.0)], 8) == {("x",): 0, ("y",): 5}
 
 
 def docs(spark, rows):
@@ -62,6 +62,20 @@ def test_mixture(spark):
     assert other != {r.doc_id for r in chosen.where("source = 'a'").collect()}
 
 
+def test_three_levels(spark):
+    """A shortage is made good within the language, then the domain, then by all; what is granted tells
+    who is short."""
+    rows = [("a", "en", 10), ("a", "fr", 10), ("b", "en", 100), ("b", "fr", 100), ("c", "en", 400), ("c", "", 400)]
+    sized = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    targets = {"a": (0.2, 2), "b": (0.2, 1), "c": (0.6, 1)}
+    _, leaves = mixing.plan(sized, targets, total=300.0, domains={"a": "x", "b": "x", "c": "y"})
+    got = {(r.domain, r.lang, r.source): r.granted for r in leaves.collect()}
+    assert got == pytest.approx({("x", "en", "a"): 20, ("x", "en", "b"): 40, ("x", "fr", "a"): 20, ("x", "fr", "b"): 40, ("y", "en", "c"): 90, ("y", "", "c"): 90})
+    assert {r.source: r.short for r in mixing.report(leaves).collect()} == {"a": True, "b": False, "c": False}
+    _, leaves = mixing.plan(sized, targets, total=1200.0, domains={"a": "x", "b": "x", "c": "y"})
+    assert {r.source: (round(r.granted), r.short) for r in mixing.report(leaves).collect()} == {"a": (40, True), "b": (200, True), "c": (800, False)}
+
+
 def test_mixture_of_nothing(spark):
     targets = {"a": (1.0, 1)}
     sized = mixing.sized_records(docs(spark, []), targets)

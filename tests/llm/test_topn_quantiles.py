@@ -112,3 +112,18 @@ def test_sketches_combine(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert quantiles.percentiles(quantiles.merge(quantiles.sketch(df, ["g"], "v"), ["g"]), ["g"], [0.5]).count() == 0
+
+
+def test_more_items_than_the_window_limit(spark):
+    """A large n over one group, most of whose scores are equal, ranked in parts first."""
+    rows = spark.range(5000).selectExpr("'g' as g", "concat('i', id) as item", "cast(if(id < 50, id, 7) as double) as score")
+    got = [r.item for r in topn.top_n(rows, ["g"], "item", "score", 1500).orderBy("rank_no").collect()]
+    expected = sorted(((-(float(i) if i < 50 else 7.0), f"i{i}") for i in range(5000)))[:1500]
+    assert got == [i for _, i in expected]
+
+
+def test_sketches_passed_on_early(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "TASK_SKETCHES", 3)
+    rows = spark.range(1000).selectExpr("cast(id % 20 as string) as g", "cast(id as double) as v").coalesce(2)
+    total = quantiles.merge(quantiles.sketch(rows, ["g"], "v"), ["g"])
+    assert {r.g: r.n for r in total.collect()} == {str(i): 50 for i in range(20)}
