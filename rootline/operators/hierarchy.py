@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -164,55 +165,103 @@ def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_pydict({"node": [a for a, _ in found], "scc": [b for _, b in found]}).to_batches(max_chunksize=50_000)
 
 
-def _colouring(graph: DataFrame) -> DataFrame:
-    """(node, scc) of the nodes on cycles by forward-backward colouring, for graphs of any size.
+def _trimmed(graph: DataFrame, task_links: int) -> tuple[DataFrame, int]:
+    """(edges, number) of a graph (node, parent) without edges that can't be part of a cycle, as the node
+    has no child or the parent has no parent; repeated while a round takes a twentieth of the edges."""
+    size = graph.count()
+    while size > task_links:
+        kept = graph.join(graph.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
+        kept = kept.join(graph.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
+        kept = materialize(kept, "trimmed")
+        before, size = size, kept.count()
+        graph = kept
+        if size > 0.95 * before:
+            break
+    return graph, size
 
-    Each round gives every node the largest id among the nodes above it (its colour); nodes of a
-    colour that reach its owner backwards are one component, and leave the graph.
+
+def _in_task(graph: DataFrame) -> DataFrame:
+    return graph.select("node", "parent").coalesce(1).mapInArrow(_skip_empty(_tarjan), "node string, scc string")
+
+
+def _colouring(graph: DataFrame, task_links: int = 0) -> DataFrame:
+    """(node, scc) of the nodes on cycles by trimming and forward-backward colouring, for graphs of any
+    size.
+
+    What can't be part of a cycle is trimmed before each round.  A round gives every node the largest
+    id among itself and the nodes above it (its colour), many pivots at once; nodes of a colour that
+    its owner reaches upwards are one component and leave the graph, and so do edges between colours.
+    A rest of up to ``task_links`` edges is solved in one task.  The rounds within a colour are as many
+    as its longest shortest way.
     """
     graph = materialize(graph.select("node", "parent"), "graph")
-    found = None
-    while not graph.isEmpty():
+    found: list[DataFrame] = []
+    while True:
+        graph, size = _trimmed(graph, task_links)
+        if size == 0:
+            break
+        if size <= task_links:
+            found.append(materialize(_in_task(graph), "found"))
+            break
         colour = materialize(graph.select("node").union(graph.select("parent")).distinct().withColumn("colour", F.col("node")), "colour")
         while True:
             above = graph.join(colour.withColumnRenamed("node", "parent"), "parent").groupBy("node").agg(F.max("colour").alias("_c"))
-            new = materialize(colour.join(above, "node", "left").select("node", F.greatest("colour", F.coalesce("_c", "colour")).alias("colour")), "colour")
-            same = new.join(colour, ["node", "colour"], "left_anti").isEmpty()
-            colour = new
+            joined = colour.join(above, "node", "left")
+            new = materialize(joined.select("node", F.greatest("colour", F.coalesce("_c", "colour")).alias("colour"), (F.coalesce("_c", "colour") > F.col("colour")).alias("risen")), "colour")
+            same = new.where("risen").isEmpty()
+            colour = new.drop("risen")
             if same:
                 break
-        inner = graph.join(colour, "node").join(colour.select(F.col("node").alias("parent"), F.col("colour").alias("_p")), "parent").where("colour = _p").select("node", "parent", "colour")
-        inner = materialize(inner, "inner")
-        reached = materialize(colour.where("node = colour"), "reached")
-        front = reached
+        own = colour.withColumnRenamed("node", "parent").withColumnRenamed("colour", "_p")
+        inner = materialize(graph.join(colour, "node").join(own, "parent").where("colour = _p").select("node", "parent", "colour"), "inner")
+        front = reached = materialize(colour.where("node = colour").join(inner.select("node"), "node", "left_semi"), "reached")
         while not front.isEmpty():  # from the owner of a colour up along its parents
             up = inner.join(front, ["node", "colour"]).select(F.col("parent").alias("node"), "colour").distinct()
             front = materialize(up.join(reached, ["node", "colour"], "left_anti"), "front")
-            reached = materialize(reached.union(front), "reached")
-        loops = inner.where("node = parent").select("node")
+            reached = reached.union(front)
+        reached = materialize(reached, "reached")
         several = reached.groupBy("colour").count().where("count > 1").select("colour")
-        cyclic = reached.join(several, "colour", "left_semi").union(reached.join(loops, "node", "left_semi")).distinct().select("node", F.col("colour").alias("scc"))
-        found = materialize(cyclic if found is None else found.union(cyclic), "found")
+        loops = inner.where("node = parent").select("node")
+        cyclic = reached.join(several, "colour", "left_semi").union(reached.join(loops, "node", "left_semi")).distinct()
+        found.append(materialize(cyclic.select("node", F.col("colour").alias("scc")), "found"))
         gone = reached.select("node")
-        graph = materialize(graph.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"), "graph")
-    return found if found is not None else graph.select("node", F.col("parent").alias("scc"))
+        graph = materialize(inner.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"), "graph")
+    return reduce(DataFrame.union, found) if found else graph.select("node", F.col("parent").alias("scc"))
 
 
-def _chains(links: DataFrame, starts: DataFrame) -> DataFrame:
+def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_chains`` of one task: links (node, up) and starts, whose ``scc`` is set and ``up`` their top."""
+    held = pa.Table.from_batches(list(batches))
+    rows = list(zip(*[held[c].to_pylist() for c in ("node", "up", "scc")], strict=True))
+    link = {n: u for n, u, s in rows if s is None}
+    seen: dict[tuple[str, str], None] = {}
+    for at, top, scc in rows:
+        while scc is not None and at != top and (at, scc) not in seen:
+            seen[at, scc] = None
+            at = link[at]
+    if seen:
+        yield from pa.Table.from_pydict({"node": [n for n, _ in seen], "scc": [s for _, s in seen]}).to_batches(max_chunksize=50_000)
+
+
+def _chains(links: DataFrame, starts: DataFrame, task_links: int) -> DataFrame:
     """(node, scc): every node on the chains of links from starts (node, scc, top) to below top."""
     jump = materialize(links.select("node", F.col("parent").alias("up")), "jump")
     marked = materialize(starts.where("node <> top").select("node", "scc", "top").distinct(), "marked")
+    size = marked.count()
+    if jump.count() + size <= task_links:
+        both = jump.withColumn("scc", F.lit(None).cast("string")).unionByName(marked.select("node", F.col("top").alias("up"), "scc"))
+        return both.coalesce(1).mapInArrow(_skip_empty(_climb), "node string, scc string")
     while True:
         more = marked.join(jump, "node").where("up <> top").select(F.col("up").alias("node"), "scc", "top")
-        merged = materialize(marked.union(more).distinct(), "marked")
-        if merged.count() == marked.count():
+        marked = materialize(marked.union(more).distinct(), "marked")
+        before, size = size, marked.count()
+        if size == before:
             return marked.select("node", "scc")
-        marked = merged
         jump = materialize(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_up")), "up").select("node", F.col("_up").alias("up")), "jump")
 
 
-def _components(graph: DataFrame, task_links: int, level: int = 0) -> DataFrame:
-    """(node, scc) of the nodes on cycles of a graph (node, parent) of distinct edges."""
+def _components(graph: DataFrame, task_links: int, size: int | None = None) -> DataFrame:
+    """(node, scc) of the nodes on cycles of a graph (node, parent) of distinct edges, ``size`` of them."""
     ways = graph.groupBy("node").agg(F.count("*").alias("ways"), F.min("parent").alias("parent"))
     single = materialize(ways.where("ways = 1").select("node", "parent", F.lit(1).cast("long").alias("weight")), "single")
     several = ways.where("ways > 1").select("node")
@@ -228,21 +277,21 @@ def _components(graph: DataFrame, task_links: int, level: int = 0) -> DataFrame:
         .select("node", F.col("parent").alias("via"), F.coalesce("root", "parent").alias("top"))
     )
     moved = materialize(moved.join(several.withColumnRenamed("node", "top"), "top", "left_semi").select("node", "via", "top"), "moved")
-    upper = moved.select("node", F.col("top").alias("parent")).distinct()
+    upper = materialize(moved.select("node", F.col("top").alias("parent")).distinct(), "upper")
     rest = upper.count()
     if rest == 0:
         return loops
     if rest <= task_links:
-        core = upper.coalesce(1).mapInArrow(_skip_empty(_tarjan), "node string, scc string")
-    elif level < 20:
-        core = _components(materialize(upper, "upper"), task_links, level + 1)
+        core = _in_task(upper)
+    elif rest < 0.7 * (size or graph.count()):  # contracting is worth another round
+        core = _components(upper, task_links, rest)
     else:
-        core = _colouring(upper)
+        core = _colouring(upper, task_links)
     core = materialize(core, "core")
     tops = core.select(F.col("node").alias("top"), F.col("scc").alias("_scc"))
     starts = moved.join(core, "node").join(tops, "top").where("scc = _scc").select(F.col("via").alias("node"), "scc", "top")
     near = single.join(ends.join(tops, ends.root == tops.top, "left_semi"), "node", "left_semi")
-    return loops.unionByName(core).unionByName(_chains(near, starts))
+    return loops.unionByName(core).unionByName(_chains(near, starts, task_links))
 
 
 def _rings(links: DataFrame, task_links: int) -> DataFrame:
@@ -256,7 +305,7 @@ def _rings(links: DataFrame, task_links: int) -> DataFrame:
     if count == 0:
         return links.select("node", F.col("parent").alias("scc"))
     if count <= task_links:
-        return links.coalesce(1).mapInArrow(_skip_empty(_tarjan), "node string, scc string")
+        return _in_task(links)
     jump, rounds = links.withColumn("least", F.least("node", "parent")), max(1, int(count).bit_length())
     for _ in range(rounds):
         far = jump.select(F.col("node").alias("parent"), F.col("parent").alias("_up"), F.col("least").alias("_least"))

@@ -50,6 +50,16 @@ def test_colouring_against_brute_force(spark):
     assert {r.node for r in h._colouring(graph).collect()} == cyclic(rows)
 
 
+def test_colouring_of_a_deep_chain_and_a_wide_graph(spark):
+    """Long ways without cycles are trimmed away or contracted, not walked id by id; limit 0 keeps all of it
+    out of single tasks."""
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}", 0) for i in range(200)]
+    assert h.cycle_nodes(table(spark, chain), 0).count() == 0
+    layers = [(f"w{k}x{i}", f"w{k + 1}x{(i + j) % 8}", j) for k in range(4) for i in range(8) for j in range(2)]
+    got = {r.node for r in h.cycle_nodes(table(spark, layers + [("w4x0", "w2x0", 0), ("w4x3", "w4x3", 0)]), 0).collect()}
+    assert got == cyclic([(c, p) for c, p, _ in layers] + [("w4x0", "w2x0"), ("w4x3", "w4x3")])
+
+
 @pytest.mark.parametrize("limit", [500_000, 3])
 def test_paths(spark, limit):
     rows = [(f"c{i}", f"c{i - 1}", 0) for i in range(1, 40)] + [("x", "c3", 1), ("x", "c9", 0), ("l1", "l2", 0), ("l2", "l1", 0), ("below", "l1", 0)]
