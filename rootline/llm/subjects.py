@@ -6,7 +6,8 @@
    clustered by bisecting k-means: each leaf is cut along its principal direction and refined by
    Lloyd steps.  All notebooks take part in every step; only sums of leaves reach the driver.
 3. A leaf is named after the subject whose hand labels and description terms it attracts beyond
-   chance; its discriminative terms thereby speak for that subject.
+   chance; its discriminative terms thereby speak for that subject.  A subject that wins no leaf gets
+   its labelled notebooks for one.
 4. Every cell is a mixture of the named leaves, by what its terms say of each; the parts of the leaves
    of one subject add up.  Rounds of reassigning all cells to leaves sharpen the terms of each leaf,
    as a leaf of whole notebooks still holds cells about other things; a notebook gets the subjects
@@ -54,6 +55,9 @@ MAX_TERMS = 300_000
 
 DIMENSIONS, LEAVES, LEVELS = 128, 48, 6
 
+#: Labelled notebooks (by share of raters) that stand for a subject which won no leaf.
+SEEDED = 2.0
+
 #: Sums of one key that one task folds.
 FOLD_TASKS = 64
 
@@ -328,6 +332,22 @@ def profile(points: DataFrame, tree: Tree, vocab: Vocabulary, labelled: dict[int
     return {k: v[: 1 + size] for k, v in found.items()}, {k: v[1 + size :] for k, v in found.items()}
 
 
+def seeded(points: DataFrame, vocab: Vocabulary, labelled: dict[int, dict[str, float]], missing: list[str]) -> dict[str, np.ndarray]:
+    """For subjects that won no leaf the labelled notebooks of each, as a leaf of its own: their number
+    and how many have each term, by the share of raters."""
+    shared = points.sparkSession.sparkContext.broadcast({d: {missing.index(s): x for s, x in v.items() if s in missing} for d, v in labelled.items() if any(s in missing for s in v)})
+    size = len(vocab.terms)
+
+    def work(batch: pa.RecordBatch, sums: dict[int, np.ndarray]) -> None:
+        for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            for subject, share in shared.value.get(doc_id, {}).items():
+                found = sums.setdefault(subject, np.zeros(1 + size))
+                found[0] += share
+                found[1 + np.unique(batch.column(1)[i].values.to_numpy(zero_copy_only=False))] += share
+
+    return {missing[k]: v for k, v in _gather(points, ["doc_id", "terms"], work).items() if v[0] >= SEEDED}
+
+
 def discriminative(leaves: dict[int, np.ndarray], leaf: int) -> np.ndarray:
     """How much likelier each term is in a leaf than elsewhere, as a smoothed log ratio."""
     total = sum(leaves.values())
@@ -361,13 +381,15 @@ def _by_subject(owner: np.ndarray, n: int) -> np.ndarray:
     return (owner[:, None] == np.arange(n)).astype(np.float32)
 
 
-def speaking(leaves: dict[int, np.ndarray], names: dict[int, str], subjects: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def speaking(leaves: dict[int, np.ndarray], names: dict[int, str], subjects: list[str], seeds: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """What each term says of each named leaf at first, and the subject number of each such leaf.
 
     A term speaks for the subject whose leaves hold it more often than all others do, split among
-    those leaves by how often each holds it.
+    those leaves by how often each holds it.  ``seeds`` are leaves of subjects that won none.
     """
     total = sum(leaves.values())
+    extra = {-2 - i: s for i, s in enumerate(seeds or {})}
+    leaves, names = leaves | {i: seeds[s] for i, s in extra.items()}, names | extra
     named = sorted(names)
     owner = np.array([subjects.index(names[x]) for x in named], dtype=int)
     out = np.zeros((len(total) - 1, len(subjects)))
@@ -477,9 +499,11 @@ def fit(points: DataFrame, vocab: Vocabulary, descriptions: dict[str, str], labe
     """Cluster, name the leaves and sharpen the terms."""
     subjects = list(descriptions)
     tree = bisect(points)
-    leaves, votes = profile(points, tree, vocab, read_labels(labels, subjects), subjects)
+    labelled = read_labels(labels, subjects)
+    leaves, votes = profile(points, tree, vocab, labelled, subjects)
     names = name_leaves(leaves, votes, vocab, descriptions)
-    says, owner = speaking(leaves, names, subjects)
+    missing = [s for s in subjects if s not in names.values()]
+    says, owner = speaking(leaves, names, subjects, seeded(points, vocab, labelled, missing) if missing and labelled else None)
     for r in range(rounds):
         says = sharpen(points, says, owner, len(subjects), CONTEXT if r < rounds - 1 else 0.0)
     if silent := [s for i, s in enumerate(subjects) if not says[:, owner == i].any()]:

@@ -180,3 +180,24 @@ def test_subjects_of_odd_tables(spark):
 @pytest.mark.parametrize("name", ["p6_report", "p7_report", "p8_makeup", "p5_percentiles"])
 def test_reports_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_a_subject_without_a_leaf_is_seeded_by_its_labels(spark, monkeypatch):
+    """A subject of a few notebooks among hundreds, with no leaf named after it."""
+    name = subjects.name_leaves
+    monkeypatch.setattr(subjects, "name_leaves", lambda *args: {k: s for k, s in name(*args).items() if s != "bees"})
+    rng = random.Random(1)
+    bags = {"sport": ["goal", "match", "team", "league", "score"], "law": ["court", "judge", "statute", "appeal", "clause"], "bees": ["hive", "queen", "honey", "swarm", "comb"]}
+    filler = [f"filler{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+
+    def text(s):
+        return "\n\n".join(" ".join(rng.choices(bags[s], k=8) + rng.choices(filler, k=2)) for _ in range(3))
+
+    kinds = ["sport"] * 150 + ["law"] * 150 + ["bees"] * 4
+    docs = spark.createDataFrame([(i, text(s), "md", "en", None) for i, s in enumerate(kinds)], f"doc_id long, text string, nb_format string, lang string, cells {CELL}")
+    names = spark.createDataFrame([(s, s) for s in bags], "subject string, description string")
+    labels = spark.createDataFrame([(i, s, "r") for i, s in enumerate(kinds) if i % 10 == 0 or s == "bees" and i % 2], "doc_id long, subject string, rater string")
+    found, model = subjects.classify(docs, names, labels)
+    got = {(r.doc_id, r.subject) for r in found.collect()}
+    assert "bees" not in model.names.values()
+    assert {i for i, s in got if s == "bees"} == {i for i, s in enumerate(kinds) if s == "bees"}
