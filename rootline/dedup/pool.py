@@ -1,9 +1,9 @@
 """The pool of chunks: exact and near-duplicate elimination in bulk, reassembly, checks, collection.
 
 A chunk is stored once under its digest, deflated, as it is where that isn't smaller, or as a delta
-against a similar chunk.  Similar chunks share super-features: minima of multiplied samples.  The bases
-of a batch are chunks of earlier commits and, within the batch, the chunk of each feature that comes
-first; a delta is never a base, so any chunk is read with at most one other.
+against a similar chunk.  Similar chunks share super-features: minima of multiplied samples.  The base
+of a chunk is the one that shares most features with it, of earlier commits or before it in the batch;
+a delta is never a base, so any chunk is read with at most one other.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rootline.session import materialize
 
@@ -31,11 +30,6 @@ DICTIONARY_BYTES = 32_256
 DELTA_FROM = 2048
 DELTA_WIN = 0.8
 
-#: Chunks that one feature nominates as bases at most; the oldest are kept.  A base is an offer, so
-#: this bounds work without losing data.
-FEATURE_BASES = 8
-
-
 def super_features(data: bytes) -> list[int]:
     """The features of a chunk: per multiplier the least product of its samples, 63 bits."""
     samples = np.frombuffer(data, dtype="<u8", count=len(data) // SAMPLE_WIDTH)[:: SAMPLE_STRIDE // SAMPLE_WIDTH]
@@ -96,19 +90,30 @@ def features(chunks: DataFrame) -> DataFrame:
     return chunks.select("digest", "data").mapInPandas(run, "feature long, digest string")
 
 
+def _groups(found: DataFrame) -> DataFrame:
+    """(digest, shared, marks): every group of features that a chunk has (at most 15), with its size."""
+    held = found.groupBy("digest").agg(F.array_sort(F.collect_set("feature")).alias("held"))
+    masks = held.select("digest", "held", F.expr("explode(sequence(1, shiftleft(1, size(held)) - 1))").alias("mask"))
+    return masks.select("digest", F.expr("filter(held, (x, i) -> (mask & shiftleft(1, i)) > 0)").alias("marks")).withColumn("shared", F.size("marks"))
+
+
 def nominate(new: DataFrame, new_features: DataFrame, pool: DataFrame | None, pool_features: DataFrame | None) -> DataFrame:
     """(digest, base_digest): for each new chunk the chunk that shares most features with it, the
-    oldest among equals.  Bases come from the pool (no deltas) or are the first chunk of a feature in
-    the batch."""
-    order = new.select("digest", F.lit(1).alias("fresh"), F.struct("place").alias("age"))
-    leaders = new_features.join(order, "digest").withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("age"))).where("rank = 1").select("feature", F.col("digest").alias("base_digest"), "fresh", F.to_json("age").alias("age"))
+    oldest among equals.  Bases come from the pool (no deltas) or stand before it in the batch.
+
+    Whoever shares k features with a chunk has one of its groups of k features, so the oldest holder
+    of every group is all there is to look at: one row per group, however many chunks hold it.
+    """
+    age = new.select("digest", F.lit(1).alias("fresh"), F.to_json(F.struct("place")).alias("age"))
+    asked = _groups(new_features).join(age, "digest")
+    held = asked.select("marks", F.struct("fresh", "age", F.col("digest").alias("base_digest")).alias("holder"))
     if pool is not None and pool_features is not None:
-        held = pool_features.join(pool.where(F.col("kind") != DELTA).select("digest", "created_epoch_seconds"), "digest")
-        held = held.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("created_epoch_seconds", "digest"))).where(F.col("rank") <= FEATURE_BASES)
-        leaders = leaders.unionByName(held.select("feature", F.col("digest").alias("base_digest"), F.lit(0).alias("fresh"), F.format_string("%020.6f", "created_epoch_seconds").alias("age")))
-    votes = new_features.join(leaders, "feature").where("digest <> base_digest").groupBy("digest", "base_digest", "fresh").agg(F.count("*").alias("shared"), F.min("age").alias("age"))
-    best = Window.partitionBy("digest").orderBy(F.desc("shared"), "fresh", "age", "base_digest")
-    return votes.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("digest", "base_digest")
+        old = pool.where(F.col("kind") != DELTA).select("digest", F.struct(F.lit(0).alias("fresh"), F.format_string("%020.6f", "created_epoch_seconds").alias("age"), F.col("digest").alias("base_digest")).alias("holder"))
+        held = held.unionByName(_groups(pool_features).join(old, "digest").select("marks", "holder"))
+    oldest = held.groupBy("marks").agg(F.min("holder").alias("holder"))
+    met = asked.join(oldest, "marks").where((F.col("holder.fresh") == 0) | (F.col("holder.age") < F.col("age"))).where("holder.base_digest <> digest")
+    best = F.min(F.struct((-F.col("shared")).alias("few"), "holder"))["holder"]["base_digest"]
+    return met.groupBy("digest").agg(best.alias("base_digest"))
 
 
 def store(chunks: DataFrame, pool: DataFrame | None = None, pool_features: DataFrame | None = None, delta: bool = True, now: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -179,12 +184,57 @@ def plain_chunks(pool: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return joined.mapInPandas(run, "digest string, data binary, ok boolean")
 
 
+def pieces(recipe: DataFrame, pool: DataFrame) -> DataFrame:
+    """(node_id, relpath, ordinal, data): the plain chunks of files, those of a file together and in
+    order: for files of any size."""
+    parts = recipe.join(plain_chunks(pool, recipe), "digest").select("node_id", "relpath", "ordinal", "data")
+    return parts.repartition("node_id", "relpath").sortWithinPartitions("node_id", "relpath", "ordinal")
+
+
+def check_files(recipe: DataFrame, pool: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(node_id, relpath, size, ok): whether the chunks of each file, one after the other, have the
+    digest of the file; no file is put together in memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total, size, out = None, None, 0, []
+        for batch in batches:
+            for node_id, relpath, data in zip(batch["node_id"], batch["relpath"], batch["data"], strict=True):
+                if (node_id, relpath) != key:
+                    if key is not None:
+                        out.append((*key, size, total.hexdigest()))
+                    key, total, size = (node_id, relpath), hashlib.sha256(), 0
+                total.update(bytes(data))
+                size += len(data)
+            yield pd.DataFrame(out, columns=["node_id", "relpath", "size", "found"])
+            out = []
+        if key is not None:
+            yield pd.DataFrame([(*key, size, total.hexdigest())], columns=["node_id", "relpath", "size", "found"])
+
+    found = pieces(recipe, pool).mapInPandas(run, "node_id string, relpath string, size long, found string")
+    whole = artifacts.select("node_id", "relpath", "sha256").join(found, ["node_id", "relpath"], "left")
+    empty = hashlib.sha256().hexdigest()
+    return whole.select("node_id", "relpath", F.coalesce("size", F.lit(0).cast("long")).alias("size"), (F.coalesce("found", F.lit(empty)) == F.col("sha256")).alias("ok"))
+
+
 def reassemble(recipe: DataFrame, pool: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
-    """(node_id, relpath, content[, ok]): files from their chunks in order; ``ok`` compares the digest
-    of the whole with that of ``artifacts``."""
-    parts = recipe.join(plain_chunks(pool, recipe), "digest")
-    listed = F.array_sort(F.collect_list(F.struct("ordinal", "data")))
-    files = parts.groupBy("node_id", "relpath").agg(F.aggregate(listed, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"])).alias("content"))
+    """(node_id, relpath, content[, ok]): files that fit a cell, from their chunks in order; ``ok``
+    compares the digest of the whole with that of ``artifacts``.  ``pieces`` is for larger files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for node_id, relpath, data in zip(batch["node_id"], batch["relpath"], batch["data"], strict=True):
+                if (node_id, relpath) != key:
+                    if key is not None:
+                        out.append((*key, b"".join(held)))
+                    key, held = (node_id, relpath), []
+                held.append(bytes(data))
+            yield pd.DataFrame(out, columns=["node_id", "relpath", "content"])
+        if key is not None:
+            yield pd.DataFrame([(*key, b"".join(held))], columns=["node_id", "relpath", "content"])
+
+    files = pieces(recipe, pool).mapInPandas(run, "node_id string, relpath string, content binary")
     if artifacts is None:
         return files
     whole = artifacts.select("node_id", "relpath", "sha256").join(files, ["node_id", "relpath"], "left").withColumn("content", F.coalesce("content", F.lit(b"").cast("binary")))

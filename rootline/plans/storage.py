@@ -88,8 +88,7 @@ def super_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reassemble_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files put together again from chunks, and whether each is what was stored."""
     chunks, rows, _ = _pool(spark, sf_dir)
-    back = pool.reassemble(pool.recipes(chunks), rows, files.listing(_files(spark, sf_dir)))
-    return back.select("node_id", F.octet_length("content").cast("bigint").alias("size"), "ok")
+    return pool.check_files(pool.recipes(chunks), rows, files.listing(_files(spark, sf_dir))).select("node_id", "size", "ok")
 
 
 ORACLES["reassemble_verify"] = "select cast(doc_id as varchar) as node_id, octet_length(encode(coalesce(text, '')))::bigint as size, true as ok from documents"

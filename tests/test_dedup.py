@@ -92,3 +92,23 @@ def test_features():
     assert pool.super_features(b"short") == []
     samples = [int.from_bytes(data[i : i + 8], "little") for i in range(0, len(data) - 7, 64)]
     assert pool.super_features(data)[0] == min(s * pool.MULTIPLIERS[0] % 2**64 for s in samples) % 2**63
+
+
+def test_bases_share_most_features(spark):
+    """A hot feature held by many, and one old chunk that shares more: against brute force over all holders."""
+    rng = random.Random(2)
+    old = {f"p{i:02d}": (float(i), {1, *rng.sample(range(2, 12), 3)}) for i in range(30)}
+    new = {f"c{i:02d}": {1, *rng.sample(range(2, 12), 3)} for i in range(20)}
+    rows = spark.createDataFrame([(d, b"x", ("n", "f", i)) for i, d in enumerate(sorted(new))], "digest string, data binary, place struct<node_id string, relpath string, ordinal int>")
+    marks = lambda sets: spark.createDataFrame([(f, d) for d, s in sets.items() for f in s], "feature long, digest string")
+    stored = spark.createDataFrame([(d, pool.DELTA if d == "p00" else 0, t) for d, (t, _) in old.items()], "digest string, kind int, created_epoch_seconds double")
+    got = {r.digest: r.base_digest for r in pool.nominate(rows, marks(new), stored, marks({d: s for d, (_, s) in old.items()})).collect()}
+    age = lambda x: f'"ordinal":{sorted(new).index(x)}}}'  # noqa: E731  ages compare as texts
+    for digest, own in new.items():
+        best = max((len(own & s), -t, d) for d, (t, s) in old.items() if d != "p00")
+        near = max((len(own & s) for d, s in new.items() if age(d) < age(digest)), default=0)
+        assert got[digest] == best[2] if best[0] >= near else len(own & new[got[digest]]) == near
+    alone = {r.digest: r.base_digest for r in pool.nominate(rows, marks(new), None, None).collect()}
+    first = sorted(new)[0]
+    assert first not in alone and set(alone) == set(new) - {first}
+    assert all(len(new[d] & new[b]) == max(len(new[d] & new[o]) for o in new if age(o) < age(d)) for d, b in alone.items())
