@@ -14,11 +14,14 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from rootline.operators import graph, search, views
-from rootline.schema import ArtifactNotFoundError, NodeNotFoundError
+from rootline.schema import ArtifactNotFoundError, NodeNotFoundError, StoreError
 
 #: Images up to this size go into a static page.
 INLINE_BYTES = 256 * 1024
 
+#: Rows that a page or an answer may hold; more are refused, as they pass through the driver and a browser.
+MAX_SHOWN = 200_000
+
 PAGE = """<!doctype html><meta charset="utf-8"><title>Lineage</title>
 <style>body{{font:14px sans-serif;margin:2em}}table{{border-collapse:collapse}}td,th{{padding:2px 10px;text-align:left;border-bottom:1px solid #ddd}}.failed{{color:#b00}}img{{max-width:20em}}</style>
 <h1>Lineage</h1><p>{summary}</p><input id="q" placeholder="search"><table id="runs"><thead><tr><th>level<th>node<th>step<th>parents<th>created<th>metadata</tr></thead><tbody></tbody></table>{images}
@@ -34,18 +37,25 @@ def script_safe(value) -> str:
     return json.dumps(value).replace("</", "<\\/")
 
 
+def _shown(rows) -> list:
+    found = rows.limit(MAX_SHOWN + 1).collect()
+    if len(found) > MAX_SHOWN:
+        raise StoreError(f"more than {MAX_SHOWN} rows to show; search for fewer, or query the frames")
+    return found
+
+
 def graph_payload(store) -> dict:
     """Nodes and edges to draw."""
     frames = store.frames()
-    nodes = [{"id": r.node_id, "label": r.label, "step_type": r.step_type, "healthy": r.healthy, "level": r.level} for r in graph.skeleton(frames).orderBy("created_epoch_seconds", "node_id").collect()]
-    edges = [{"from": r["from"], "to": r["to"]} for r in graph.edge_list(frames).orderBy("created_epoch_seconds", "to", "ordinal").collect()]
+    nodes = [{"id": r.node_id, "label": r.label, "step_type": r.step_type, "healthy": r.healthy, "level": r.level} for r in _shown(graph.skeleton(frames).orderBy("created_epoch_seconds", "node_id"))]
+    edges = [{"from": r["from"], "to": r["to"]} for r in _shown(graph.edge_list(frames).orderBy("created_epoch_seconds", "to", "ordinal"))]
     return {"nodes": nodes, "edges": edges}
 
 
 def runs_payload(store) -> dict:
     """One row per run with all metrics, oldest first."""
     runs = views.runs_table(store.frames()).orderBy("created_epoch_seconds", "node_id")
-    return {"columns": runs.columns, "rows": [r.asDict() for r in runs.collect()]}
+    return {"columns": runs.columns, "rows": [r.asDict() for r in _shown(runs)]}
 
 
 def node_payload(store, node_id: str) -> dict:
@@ -66,7 +76,7 @@ def render(store, images: bool = False) -> str:
     from rootline.operators.find import records
 
     rows = records(frames, frames.node).join(level, "node_id").join(entries, "node_id", "left").orderBy("created_epoch_seconds", "node_id")
-    nodes = [{"node_id": r.node_id, "step_type": r.step_type, "level": r.level, "parents": r.parents, "created": r.created_utc, "healthy": r.healthy, "entries": r.entries or ""} for r in rows.collect()]
+    nodes = [{"node_id": r.node_id, "step_type": r.step_type, "level": r.level, "parents": r.parents, "created": r.created_utc, "healthy": r.healthy, "entries": r.entries or ""} for r in _shown(rows)]
     shown = ""
     if images:
         for r in frames.artifact.where(F.lower("relpath").rlike(r"\.(png|jpe?g|gif|svg|webp)$") & (F.col("size") <= INLINE_BYTES)).orderBy("node_id", "relpath").toLocalIterator():
@@ -98,7 +108,7 @@ def answer(store, path: str) -> tuple[int, str, bytes]:
             case ["api", "runs"]:
                 found = runs_payload(store)
             case ["api", "search"]:
-                found = {"ids": [r.node_id for r in search.search(store.frames(), asked.get("q", "")).orderBy("created_epoch_seconds", "node_id").select("node_id").collect()]}
+                found = {"ids": [r.node_id for r in _shown(search.search(store.frames(), asked.get("q", "")).orderBy("created_epoch_seconds", "node_id").select("node_id"))]}
             case ["api", "diff"]:
                 if not {"a", "b"} <= asked.keys():
                     return 400, "application/json", b'{"error": "a and b are needed"}'
