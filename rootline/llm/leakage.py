@@ -254,17 +254,18 @@ def near(shard: Shard, items: Items, words: int, terms: int, slack: int) -> tupl
     anchors = anchors[frequency[anchors] > 0]
     found = []
     for some in _pieces(anchors, frequency[anchors]):
-        each, place = _aligned(shard, numbers, some)
-        hits = np.zeros((len(each), 2 * words - 1), np.int8)
-        for i, d in enumerate(range(-(words - 1), words)):
-            at = each + d
-            inside = (at >= 0) & (at < len(numbers))
-            at = np.where(inside, at, 0)
-            hits[:, i] = inside & (items.owner[at] == items.owner[each]) & shard.stands(numbers[at], place + d, slack)
-        sums = np.cumsum(np.pad(hits, ((0, 0), (1, 0))), axis=1, dtype=np.int64)
-        best = (sums[:, words:] - sums[:, :-words]).max(axis=1, initial=0)
-        keep = best >= terms
-        found.append(np.stack([each[keep], place[keep], best[keep]]))
+        each, exact = _aligned(shard, numbers, some)
+        for place in (exact + s for s in range(-slack, slack + 1)):  # the anchor itself may be off its place
+            hits = np.zeros((len(each), 2 * words - 1), np.int8)
+            for i, d in enumerate(range(-(words - 1), words)):
+                at = each + d
+                inside = (at >= 0) & (at < len(numbers))
+                at = np.where(inside, at, 0)
+                hits[:, i] = inside & (items.owner[at] == items.owner[each]) & shard.stands(numbers[at], place + d, slack)
+            sums = np.cumsum(np.pad(hits, ((0, 0), (1, 0))), axis=1, dtype=np.int64)
+            best = (sums[:, words:] - sums[:, :-words]).max(axis=1, initial=0)
+            keep = best >= terms
+            found.append(np.stack([each[keep], exact[keep], best[keep]]))
     return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, np.int64),) * 3
 
 
@@ -330,8 +331,8 @@ def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, block_wor
 
 def proximity_in(index: DataFrame, items: DataFrame, words: int = WORDS, terms: int = 10, slack: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(item_id, doc_id, terms): pairs where a cell of an indexed corpus holds at least ``terms`` of
-    some ``words`` consecutive words of an item, each within ``slack`` words of its place; the most
-    found."""
+    some ``words`` consecutive words of an item, each within ``slack`` words of its place along some
+    alignment of the two; the most found."""
     if not (0 < terms <= words and words + slack < GAP // 2 and slack >= 0):
         raise ValueError("terms are at most words, which with the slack are fewer than half the gap between cells")
     found = _all_blocks(index, items, block_words, lambda shard, block: near(shard, block, words, terms, slack), MATCHES)

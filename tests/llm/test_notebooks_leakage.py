@@ -99,6 +99,29 @@ def test_proximity(spark):
     assert leakage.proximity(docs, items.limit(0)).count() == 0
 
 
+def test_proximity_against_brute_force(spark):
+    """Any alignment counts, whichever word is looked up first."""
+    rng = np.random.default_rng(9)
+    words = ["w%d" % i for i in range(14)]
+    items = [(i, list(rng.choice(words, 9))) for i in range(4)]
+    docs = []
+    for _ in range(16):
+        text = list(items[rng.integers(4)][1])
+        for _ in range(rng.integers(1, 4)):
+            text.insert(int(rng.integers(len(text))), "odd") if rng.random() < 0.6 else text.pop(int(rng.integers(len(text))))
+        docs.append(list(rng.choice(words, 6)) + text)
+    expected = {}
+    for i, w in items:
+        for d, c in enumerate(docs):
+            for k in range(len(w) - 5):
+                for shift in range(-12, len(c) + 12):
+                    n = sum(any(0 <= shift + j + s < len(c) and c[shift + j + s] == w[k + j] for s in (-1, 0, 1)) for j in range(6))
+                    if n >= 5:
+                        expected[i, d] = max(n, expected.get((i, d), 0))
+    got = leakage.proximity(spark.createDataFrame([(d, " ".join(c), "md", None) for d, c in enumerate(docs)], SCHEMA), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), 6, 5, 1)
+    assert {(r.item_id, r.doc_id): r.terms for r in got.collect()} == expected and expected
+
+
 def test_one_index_for_all_test_sets(spark):
     """The index is made before any item is known; small shards, blocks and pieces change nothing."""
     rng = np.random.default_rng(3)
